@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,22 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/lexigrid/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package where their Python path does not hold it already
+    (a cluster install or PYTHONPATH); done once for a session's context."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root in known or os.getcwd() == root or getattr(context, "_lexigrid_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="lexigrid-"), "lexigrid.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "lexigrid")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
+    context._lexigrid_shipped = True
