@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that end a word, and the pattern of a word.
 BLANKS = " \t\n\x0b\x0c\r"
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+WORD_PATTERN, BLANK_PATTERN = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
+
+
+def quoted(pattern: str) -> str:
+    """A SQL string literal of the pattern."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def arrow_map(df: DataFrame, columns: Sequence[str | Column], schema: str, per_slice: Callable, rows: int = 512) -> DataFrame:
