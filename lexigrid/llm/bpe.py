@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from .common import Memory, arrow_map
 
 #: Encoded pieces that a worker remembers, and the longest piece it remembers.
-CACHED_PIECES, CACHED_CHARS, CACHED_PAIRS = 1 << 18, 48, 1 << 19
+CACHED_PIECES, CACHED_CHARS, CACHED_PAIRS, TRIE_NODES = 1 << 18, 48, 1 << 19, 1 << 19
+
+TOKEN = 256
 
 
 class ByteVocab:
@@ -28,15 +30,15 @@ class ByteVocab:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        lengths: dict[bytes, set[int]] = {}
-        for token in ranks:
-            lengths.setdefault(token[-2:], set()).add(len(token))
-            if len(token) == 1:
-                lengths.setdefault(token, set())
-        #: By the last two bytes: lengths of the tokens that end with them, longest first.
-        self.lengths = {end: sorted(found, reverse=True) for end, found in lengths.items() if len(end) == 2}
+        #: Trie over the reversed tokens; TOKEN leads to the id of the token that begins there.
+        self.ends: dict = {}
+        for token, rank in ranks.items():
+            node = self.ends
+            for byte in reversed(token):
+                node = node.setdefault(byte, {})
+            node[TOKEN] = rank
         self._stable: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
 
     @classmethod
     def load(cls, path: str) -> ByteVocab:
@@ -44,34 +46,118 @@ class ByteVocab:
             pairs = (line.split() for line in lines if line.strip())
             return cls({base64.b64decode(token): int(rank) for token, rank in pairs})
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Encoding by definition: join the adjacent pair of lowest rank, leftmost first,
-        until none is left. Quadratic; used on token pairs only."""
+    def merge(self, piece: bytes, below: int = 1 << 60) -> list[int]:
+        """Encoding by definition: join the adjacent pair of lowest rank (under `below`),
+        leftmost first, until none is left. Quadratic; used on single tokens only."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
-            found = [(self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)]
+            found = [(self.ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1)]
             rank, i = min(found)
-            if rank == 1 << 60:
+            if rank >= below:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[part] for part in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a single byte, and for a token
+        that merging its bytes doesn't give."""
+        if token not in self._halves:
+            data = self.tokens[token]
+            parts = self.merge(data, token) if len(data) > 1 else []
+            self._halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self._halves[token]
+
     def whole(self, token: int) -> bool:
         """Do the bytes of this token merge to the token itself?"""
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merge(self.tokens[token]) == [token]
-        return known
+        return len(self.tokens[token]) == 1 or self.halves(token) is not None
 
     def stable(self, left: int, right: int) -> bool:
-        """Do the two tokens stay two when their bytes are merged from scratch?"""
+        """Do the two tokens stay two when their bytes are merged from scratch?
+
+        The merges are undone, the latest first, only along the border. A border pair would
+        have been joined if its rank is lower than that of the merge that took away its
+        left member (which goes first at the same rank), and not higher than that of the one
+        that took away its right member.
+        """
         known = self._stable.get(left << 32 | right)
         if known is None:
             if len(self._stable) >= CACHED_PAIRS:
                 self._stable.clear()
-            known = self._stable[left << 32 | right] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+            known = self._stable[left << 32 | right] = self._apart(left, right)
         return known
 
+    def _apart(self, x: int, y: int) -> bool:
+        ranks, tokens, never = self.ranks, self.tokens, 1 << 60
+        x_gone = y_gone = never
+        while True:
+            joined = ranks.get(tokens[x] + tokens[y], never)
+            if joined < x_gone and joined <= y_gone and joined < never:
+                return False
+            x_made, y_made = x if len(tokens[x]) > 1 else -1, y if len(tokens[y]) > 1 else -1
+            if x_made < 0 and y_made < 0:
+                return True
+            if x_made > y_made:
+                x_gone, x = x, self.halves(x)[1]
+            else:
+                y_gone, y = y, self.halves(y)[0]
+
+
+def last_token(vocab: ByteVocab, piece: bytes, end: int, last: list[int]) -> int:
+    """The one token that ends the encoding of piece[:end]; last[i] ends that of
+    piece[: i + 1], for all shorter prefixes."""
+    node, known, at = vocab.ends, vocab._stable, end
+    while at:
+        at -= 1
+        node = node.get(piece[at])
+        if node is None:
+            break
+        token = node.get(TOKEN)
+        if token is None:
+            continue
+        if not at:
+            if vocab.whole(token):
+                return token
+            continue
+        pair = last[at - 1] << 32 | token
+        fits = known.get(pair)
+        if fits is None:
+            fits = known[pair] = vocab.whole(token) and vocab.stable(last[at - 1], token)
+        if fits:
+            return token
+    raise ValueError("the vocabulary lacks a byte")
+
+
+def trace(vocab: ByteVocab, last: list[int]) -> list[int]:
+    """The encoding of a piece from its prefix table, from the end."""
+    found, end = [], len(last)
+    while end:
+        token = last[end - 1]
+        found.append(token)
+        end -= len(vocab.tokens[token])
+    return found[::-1]
+
+
+class PrefixTrie:
+    """Prefix tables of many pieces at once: pieces that begin alike share their entries.
+    Starts anew at TRIE_NODES entries."""
+
+    def __init__(self, vocab: ByteVocab):
+        self.vocab, self.steps, self.last = vocab, {}, [-1]
+
+    def encode(self, piece: bytes) -> list[int]:
+        if len(self.last) > TRIE_NODES:
+            self.steps, self.last = {}, [-1]
+        steps, at, path = self.steps, 0, []
+        for end, byte in enumerate(piece, 1):
+            key = at << 8 | byte
+            to = steps.get(key)
+            if to is None:
+                to = steps[key] = len(self.last)
+                self.last.append(last_token(self.vocab, piece, end, path))
+            at = to
+            path.append(self.last[to])
+        return trace(self.vocab, path)
+
 
 class PrefixEncoder:
     """The prefix table of one piece: append, edit and encode it."""
@@ -84,25 +170,7 @@ class PrefixEncoder:
         start = len(self.piece)
         self.piece += more
         for end in range(start + 1, len(self.piece) + 1):
-            self.last.append(self._last(end))
-
-    def _last(self, end: int) -> int:
-        vocab, piece = self.vocab, self.piece
-        single = vocab.ranks[piece[end - 1 : end]]
-        if end == 1:
-            return single
-        for length in vocab.lengths.get(piece[end - 2 : end], ()):
-            if length > end:
-                continue
-            token = vocab.ranks.get(piece[end - length : end])
-            if token is None:
-                continue
-            if length == end:
-                if vocab.whole(token):
-                    return token
-            elif vocab.stable(self.last[end - length - 1], token) and vocab.whole(token):
-                return token
-        return single
+            self.last.append(last_token(self.vocab, self.piece, end, self.last))
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace piece[start:stop]; returns the number of prefixes that were redone.
@@ -115,7 +183,7 @@ class PrefixEncoder:
         self.last = old_last[:start]
         longest, same, done = max(map(len, self.vocab.ranks)), 0, 0
         for end in range(start + 1, len(self.piece) + 1):
-            token = self._last(end)
+            token = last_token(self.vocab, self.piece, end, self.last)
             self.last.append(token)
             done += 1
             behind = end > start + len(new)
@@ -126,12 +194,7 @@ class PrefixEncoder:
         return done
 
     def encode(self) -> list[int]:
-        found, end = [], len(self.piece)
-        while end:
-            token = self.last[end - 1]
-            found.append(token)
-            end -= len(self.vocab.tokens[token])
-        return found[::-1]
+        return trace(self.vocab, self.last)
 
 
 class ByteBpe:
@@ -141,12 +204,14 @@ class ByteBpe:
         import regex
 
         self.vocab, self.find = vocab, regex.compile(pattern).findall
-        self.pieces = Memory(self.piece, CACHED_PIECES, CACHED_CHARS)
+        self.pieces, self.trie = Memory(self.piece, CACHED_PIECES, CACHED_CHARS), PrefixTrie(vocab)
 
     def piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.vocab.ranks.get(data)  # a piece that is a token stays one
-        return (whole,) if whole is not None else tuple(PrefixEncoder(self.vocab, data).encode())
+        if whole is not None:
+            return (whole,)
+        return tuple(self.trie.encode(data) if len(data) <= 2 * CACHED_CHARS else PrefixEncoder(self.vocab, data).encode())
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
