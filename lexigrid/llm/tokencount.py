@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import Memory, arrow_map
 
 #: Characters of a chunk; states and words that a worker keeps compiled.
-CHUNK, STATES, WORDS, PAIRS = 1 << 15, 1 << 18, 1 << 18, 1 << 19
+CHUNK, STATES, WORDS, PAIRS = 1 << 15, 1 << 19, 1 << 18, 1 << 19
 END = "</w>"
 
 
@@ -41,12 +41,18 @@ class WordBpe:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.vocab = vocab
         self.rank = {tuple(pair): i for i, pair in enumerate(merges)}
-        lengths: dict[str, set[int]] = {}
+        #: Trie over reversed tokens; "" and END lead to the inner and the final token there.
+        self.ends: dict = {}
         for token in vocab:
-            end = token.endswith(END) and len(token) > len(END)
-            body = token[: -len(END)] if end else token
-            lengths.setdefault(body[-1] + (END if end else ""), set()).add(len(body))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
+            end = END if token.endswith(END) and len(token) > len(END) else ""
+            node = self.ends
+            for symbol in reversed(token[: len(token) - len(end)]):
+                node = node.setdefault(symbol, {})
+            node["" if not end else END] = token
+        self.made = {a + b: i for i, (a, b) in enumerate(merges)}
+        self.halves = {a + b: (a, b) for a, b in merges}
+        if len(self.made) < len(merges):
+            raise ValueError("each token is expected to have one merge")
         self._stable: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
 
@@ -74,13 +80,34 @@ class WordBpe:
         return known
 
     def stable(self, left: str, right: str) -> bool:
+        """Do the two tokens stay two when their symbols are merged from scratch?
+
+        Merges are undone along the border, the latest first; a border pair would have been
+        joined if its rank is lower than that of the merge that took away its left member,
+        and not higher than that of the one that took away its right member.
+        """
         known = self._stable.get((left, right))
         if known is None:
             if len(self._stable) >= PAIRS:
                 self._stable.clear()
-            known = self._stable[left, right] = self.merge(self.symbols(left) + self.symbols(right)) == [left, right]
+            known = self._stable[left, right] = self._apart(left, right)
         return known
 
+    def _apart(self, x: str, y: str) -> bool:
+        never = 1 << 60
+        x_gone = y_gone = never
+        while True:
+            joined = self.rank.get((x, y), never)
+            if joined < x_gone and joined <= y_gone and joined < never:
+                return False
+            x_made, y_made = self.made.get(x, -1), self.made.get(y, -1)
+            if x_made < 0 and y_made < 0:
+                return True
+            if x_made > y_made:
+                x_gone, x = x_made, self.halves[x][1]
+            else:
+                y_gone, y = y_made, self.halves[y][0]
+
 
 class WordTransducer:
     """Lazily compiled. State 0 starts a word; any other state is a prefix whose last
@@ -102,19 +129,26 @@ class WordTransducer:
     def _close(self, text: str, end: int, mark: str, path: list[int]) -> tuple[str, int]:
         """Last token and token count of text[:end], its last symbol taken as inner (mark
         "") or as the end of the word; path holds the states behind text[:1], text[:2] ..."""
-        bpe = self.bpe
-        for length in bpe.lengths.get(text[end - 1] + mark, ()):
-            if length > end:
-                continue
-            token = text[end - length : end] + mark
-            if token not in bpe.vocab:
+        bpe, known = self.bpe, self.bpe._stable
+        node, at = bpe.ends, end
+        while at:
+            at -= 1
+            node = node.get(text[at])
+            if node is None:
+                break
+            token = node.get(mark)
+            if token is None:
                 continue
-            if length == end:
+            if not at:
                 if bpe.whole(token):
                     return token, 1
                 continue
-            before = path[end - length]
-            if bpe.stable(self.last[before], token) and bpe.whole(token):
+            before = path[at]
+            pair = self.last[before], token
+            fits = known.get(pair)
+            if fits is None:
+                fits = known[pair] = bpe.whole(token) and bpe.stable(*pair)
+            if fits:
                 return token, self.count[before] + 1
         raise ValueError(f"no token ends {text[:end]!r}")
 
