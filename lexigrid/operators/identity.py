@@ -27,12 +27,11 @@ def duplicate_warnings(df: DataFrame, key: str) -> DataFrame:
 def with_key_count(df: DataFrame, key: Sequence[str], name: str = "same_count") -> DataFrame:
     """df with the number of rows that share the key: an aggregate and a join back, so that
     a frequent key is combined early and its join partition can be split."""
-    counts = df.groupBy(*key).agg(F.count("*").alias(name))
-    condition = None
+    counts = df.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.count("*").alias(name))
+    condition = F.lit(True)
     for k in key:
-        c = df[k].eqNullSafe(counts[k])
-        condition = c if condition is None else condition & c
-    return df.join(counts, condition, "left").drop(*[counts[k] for k in key])
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(counts, condition, "left").drop(*[f"__{k}" for k in key])
 
 
 def unique_lookup(df: DataFrame, key: str, value: str) -> DataFrame:

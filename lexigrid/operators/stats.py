@@ -16,12 +16,12 @@ def median_mad(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     Two aggregates: the medians, then the medians of the distances to them; the group table
     joins back by its keys, nulls included.
     """
-    medians = df.groupBy(*group).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("samples"))
-    condition = None
+    renamed = [F.col(g).alias(f"__{g}") for g in group]
+    medians = df.groupBy(*renamed).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("samples"))
+    condition = F.lit(True)
     for g in group:
-        c = df[g].eqNullSafe(medians[g])
-        condition = c if condition is None else condition & c
-    joined = df.join(medians, condition).select(*[df[g] for g in group], df[value].alias("__v"), "median", "samples")
+        condition = condition & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    joined = df.join(medians, condition).select(*group, F.col(value).alias("__v"), "median", "samples")
     found = joined.groupBy(*group).agg(F.first("samples").alias("samples"), F.first("median").alias("median"), F.percentile(F.abs(F.col("__v") - F.col("median")), F.lit(0.5)).alias("mad"))
     found = found.withColumn("noise", F.when(F.col("median") != 0, F.col("mad") / F.col("median")))
     return found.withColumn("noisy", F.coalesce(F.col("noise") > NOISY, F.lit(False)))
@@ -38,7 +38,7 @@ def relative_to(df: DataFrame, keys: Sequence[str], variant: str, baseline: str,
     base = df.where(F.col(variant) == baseline).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(value).alias("baseline_value"))
     condition = F.lit(True)
     for k in keys:
-        condition = condition & df[k].eqNullSafe(base[f"__{k}"])
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__{k}"))
     joined = df.join(base, condition, "left").drop(*[f"__{k}" for k in keys])
     ratio = F.when(F.col("baseline_value") != 0, F.col(value) / F.col("baseline_value"))
     return joined.withColumn("ratio", ratio).withColumn("percent", (ratio - 1) * 100)
