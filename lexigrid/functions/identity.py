@@ -31,7 +31,7 @@ def type_id(name: Column | str, owner_path: Column | str, same_names: Column) ->
 
 
 def query_table_id(name: Column | str, identifier: Column | str, owner_path: Column | str, same: Column) -> Column:
-    path = F.array_join(F.transform(F.concat(col(owner_path), F.array(col(name))), clean_part), ":")
+    path = F.array_join(F.transform(F.concat(col(owner_path), F.array(col(name))), lambda p: clean_part(p)), ":")
     base = F.concat(F.lit("query_table:"), F.coalesce(F.nullif(clean_part(identifier), F.lit("")), path))
     return F.when(same <= 1, base).otherwise(F.concat_ws(":", base, last_name(owner_path)))
 
@@ -52,7 +52,7 @@ def owned_id(kind: Column | str, owner_id: Column | str, name: Column | str, own
 
 def semantic_key(path: Column | str, name: Column | str) -> Column:
     """Lower-case owner path and name joined by /; a name that ends the path is not repeated."""
-    parts = F.transform(col(path), part_key)
+    parts = F.transform(col(path), lambda p: part_key(p))
     tail = F.try_element_at(parts, F.lit(-1))
     full = F.when(tail == part_key(name), parts).otherwise(F.array_append(parts, part_key(name)))
     return F.array_join(full, "/")

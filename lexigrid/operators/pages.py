@@ -312,4 +312,8 @@ def render_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "
 
 def unescape(text: Column | str) -> Column:
     """All HTML entities decoded (the small table of functions.values stays in the JVM)."""
-    return F.arrow_udf(lambda v: pa.array([None if x is None else entities.unescape(x) for x in v.to_pylist()], pa.string()), "string")(col(text))
+
+    def decode(values: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else entities.unescape(x) for x in values.to_pylist()], pa.string())
+
+    return F.arrow_udf(decode, "string")(col(text))
