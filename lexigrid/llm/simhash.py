@@ -253,13 +253,17 @@ def groups(df: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id
 
     Null and empty texts have fingerprint 0 and are linked like any other. A row without an
     id belongs to the component of its fingerprint (null if no row with an id is there) and
-    adds no links. Repeated rows are kept one by one. Ids must be integral. Other columns
+    adds no links. Repeated rows are kept one by one, and rows that share an id but not a
+    text are linked only if their fingerprints are. Ids must be integral. Other columns
     are not read.
     """
     prints = materialize(fingerprints(df, width, id_col, text_col), "prints")
-    nodes = materialize(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    roots = connected(links(nodes, radius))
-    of = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    nodes = materialize(prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    roots = connected(links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    linked = roots.union(roots.select("root", "root").distinct())
+    smallest = linked.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("id").alias("component_id"))
+    named = linked.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
+    of = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
     found = prints.join(of, "fp", "left")
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -30,7 +30,7 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 256)
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dims)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dims)
 
 
 def blocks_of(vectors: np.ndarray, rows: int) -> list[np.ndarray]:

@@ -1,7 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features.
 
 P(grade > j) = sigmoid(w . x - cut_j): one weight vector for all thresholds, ordered cuts.
-x holds log(1 + count) of selected terms. Output is the expected grade. The model is fitted
+x holds log(1 + count) of selected terms, words and beginnings of words. Output is the
+expected grade. The model is fitted
 on a bounded sample of labelled documents; everything else runs over all rows.
 """
 
@@ -17,14 +18,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import arrow_map
+from .common import Memory, arrow_map
 
 #: Most labelled documents that are fitted, terms that are kept, grades above 0, fewest
-#: sampled documents of a term.
-SAMPLE_ROWS, TERMS, GRADES, MIN_DOCS = 8192, 2048, 3, 5
+#: sampled documents of a term, and its least deviation from independence in standard errors.
+SAMPLE_ROWS, TERMS, GRADES, MIN_DOCS, MIN_Z = 32768, 2048, 3, 4, 4.0
+#: Beginnings of longer words that are terms as well; they are written with a dash.
+STEMS = (6, 8)
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+def terms_of(word: str) -> list[str]:
+    return [word, *(word[:n] + "-" for n in STEMS if len(word) > n)]
+
+
+class Terms:
+    """Counts of known terms in a text; words already looked up are remembered, bounded."""
+
+    def __init__(self, known):
+        self.known = known
+        self.words = Memory(lambda w: tuple(t for t in terms_of(w) if t in known), 1 << 17, 48)
+
+    def counts(self, text: str | None) -> Counter:
+        held = map(self.words.__getitem__, WORDS((text or "").lower()))
+        return Counter(t for found in held if found for t in found)
+
+
 @dataclass(frozen=True)
 class Model:
     """weights by term, rising cuts; no terms: every document has grade 0."""
@@ -32,18 +51,14 @@ class Model:
     weights: dict[str, float]
     cuts: tuple[float, ...]
 
-    def probabilities(self, text: str | None) -> list[float]:
+    def probabilities(self, text: str | None, terms: Terms | None = None) -> list[float]:
         """P(grade > j) for each cut."""
-        words = WORDS((text or "").lower())
-        known = self.weights.keys() & set(words)
-        at = 0.0
-        if known:
-            counts = Counter(w for w in words if w in known)
-            at = sum(self.weights[w] * float(np.log1p(n)) for w, n in sorted(counts.items()))
+        counts = (terms or Terms(self.weights)).counts(text)
+        at = sum(self.weights[t] * float(np.log1p(n)) for t, n in sorted(counts.items()))
         return [1 / (1 + float(np.exp(min(50.0, cut - at)))) for cut in self.cuts]
 
 
-def fit_cuts(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_terms: int, n_grades: int = GRADES, steps: int = 400, l1: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_cuts(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_terms: int, n_grades: int = GRADES, steps: int = 2000, l1: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and cuts by proximal gradient steps with momentum on the mean loss of the
     binary problems "grade > j", which share the weights; l1 keeps the weights sparse."""
     n = len(grades)
@@ -51,15 +66,14 @@ def fit_cuts(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.
     share = np.clip(above.mean(axis=0), 1e-4, 1 - 1e-4)
     w, cuts = np.zeros(n_terms), np.log(1 / share - 1)
     vw, vc = np.zeros(n_terms), np.zeros(n_grades)
-    # a bound of the curvature: rows' squared lengths, balanced classes
-    lift = np.where(above > 0, 0.5 / share, 0.5 / (1 - share)) / n
+    # the curvature is at most a quarter of the mean squared row length for each threshold
     length = np.bincount(rows, values * values, n)
-    step = 4.0 / max(1e-9, float((lift.sum(axis=1) * np.maximum(length, 1)).sum())) * 4
+    step = 4.0 / (n_grades * float(np.maximum(length, 1).mean()))
     for t in range(steps):
         momentum = t / (t + 3)
         yw, yc = w + momentum * vw, cuts + momentum * vc
         z = np.bincount(rows, yw[cols] * values, n)[:, None] - yc[None, :]
-        gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - above) * lift
+        gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - above) / n
         new = yw - step * np.bincount(cols, gap.sum(axis=1)[rows] * values, n_terms)
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new_cuts = np.maximum.accumulate(yc + step * gap.sum(axis=0))
@@ -73,7 +87,7 @@ def _terms(sample: DataFrame, column: str) -> DataFrame:
     def per_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
         labels, words = [], []
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = sorted(set(WORDS((text or "").lower())))
+            found = sorted({t for w in set(WORDS((text or "").lower())) for t in terms_of(w)})
             labels += [label] * len(found)
             words += found
         return pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(words, pa.string())], ["label", "word"])
@@ -103,16 +117,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     counts = _terms(sample, "text").groupBy("word").agg(F.sum("label").alias("t"), F.count("*").alias("d")).where(F.col("d") >= MIN_DOCS)
     rate = F.lit(n_toxic / n_all)
     surprise = F.abs(F.col("t") - F.col("d") * rate) / F.sqrt(F.col("d") * rate * (1 - rate) + 1)
-    terms = counts.withColumn("z", surprise).orderBy(F.desc("z"), "word").limit(TERMS).collect()
+    terms = counts.withColumn("z", surprise).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(TERMS).collect()
+    if not terms:
+        return empty
     index = {row.word: i for i, row in enumerate(terms)}
-    strong = {i for i, row in enumerate(terms) if row.t - row.d * n_toxic / n_all > 0 and row.z > 4}
+    strong = {i for i, row in enumerate(terms) if row.t > row.d * n_toxic / n_all and not row.word.endswith("-")}
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols, values = [], []
+        cols, values, known = [], [], Terms(index)
         for text in batch.column(1).to_pylist():
-            found = Counter(index[w] for w in WORDS((text or "").lower()) if w in index)
-            cols.append(sorted(found))
-            values.append([found[i] for i in sorted(found)])
+            found = sorted((index[t], n) for t, n in known.counts(text).items())
+            cols.append([i for i, _ in found])
+            values.append([n for _, n in found])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["label", "cols", "counts"])
 
     # a join of repeated ids could give more rows than were picked
@@ -140,7 +156,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def per_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [model.probabilities(x) for x in batch.column(1).to_pylist()]
+        terms = Terms(model.weights)
+        found = [model.probabilities(x, terms) for x in batch.column(1).to_pylist()]
         columns = [pa.array([sum(p) for p in found], pa.float64()), pa.array([sum(x >= 0.5 for x in p) for p in found], pa.int32()), pa.array([p[0] >= toxic_from for p in found], pa.bool_())]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "severity", "grade", "toxic"])
 
