@@ -71,6 +71,80 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_HASH = "CAST(('0x' || substr(md5({}), 1, 15)) AS BIGINT)"
+
+OP1 = rf"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+hashed AS (SELECT *, {_HASH.format("'mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size")} AS h FROM docs),
+summed AS (SELECT source, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS words FROM hashed GROUP BY source),
+numbered AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s FROM summed),
+weighed AS (SELECT *, [5, 2, 1][s % 3 + 1] AS weight, 2.0::DOUBLE * words AS cap, 1.5::DOUBLE * CAST(sum(words) OVER () AS BIGINT) AS everything FROM numbered),
+levels AS (
+  SELECT *, (everything - coalesce(sum(cap) OVER (ORDER BY cap / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / CAST(sum(weight) OVER (ORDER BY cap / weight, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM weighed),
+aimed AS (SELECT *, least(cap, weight * coalesce(max(CASE WHEN level <= cap / weight THEN level END) OVER (), 'infinity'::DOUBLE)) AS target FROM levels),
+sharded AS (
+  SELECT *, CAST(least(4096, CASE WHEN ceil(n_rows / 256) <= 1 THEN 1 ELSE pow(2, length(bin(CAST(ceil(n_rows / 256) AS BIGINT) - 1))) END) AS BIGINT) AS shards,
+    CAST(floor(sum(target) OVER () / 16 + 0.5) AS BIGINT) AS seats FROM aimed),
+source_tries AS (
+  SELECT s, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, s, k) AS place
+  FROM (SELECT s, seats, target, unnest(range(0, seats + 1)) AS k FROM sharded WHERE target > 0)),
+source_blocks AS (SELECT s, count(*) AS blocks FROM source_tries WHERE place <= seats GROUP BY s),
+placed AS (SELECT doc_id, h, size, d.source, a.s, words, target, h % 4096 % shards AS shard FROM hashed d JOIN sharded a ON d.source IS NOT DISTINCT FROM a.source),
+by_shard AS (SELECT s, shard, CAST(sum(size) AS BIGINT) AS n, any_value(blocks) AS blocks FROM placed LEFT JOIN source_blocks USING (s) GROUP BY s, shard),
+shard_tries AS (
+  SELECT s, shard, blocks, row_number() OVER (PARTITION BY s ORDER BY n / (2 * k + 1) DESC, shard, k) AS place
+  FROM (SELECT s, shard, n, blocks, unnest(range(0, blocks + 1)) AS k FROM by_shard WHERE n > 0)),
+quotas AS (
+  SELECT s, shard, CAST(ceil(n / 16) AS BIGINT) AS m, least(coalesce(won, 0), 2 * CAST(ceil(n / 16) AS BIGINT)) AS quota, {_HASH.format("'mix-1:' || s || ':' || shard")} AS draw
+  FROM by_shard LEFT JOIN (SELECT s, shard, count(*) AS won FROM shard_tries WHERE place <= blocks GROUP BY s, shard) USING (s, shard) WHERE n > 0),
+lined AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY s, shard ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS o FROM placed),
+drawn AS (
+  SELECT l.*, q.m, q.quota // q.m AS base, q.quota % q.m AS extra, q.draw % q.m AS c, [1000000007, 1500000001, 1900000043, 2147483647][q.draw % 4 + 1] AS p
+  FROM lined l LEFT JOIN quotas q USING (s, shard))
+SELECT doc_id, size, words AS source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(list_sum(list_transform(range(o // 16, (o + size - 1) // 16 + 1),
+  lambda j: (least((j + 1) * 16, o + size) - greatest(j * 16, o)) * (base + CASE WHEN (j * p + c) % m < extra THEN 1 ELSE 0 END))) AS BIGINT) END AS taken
+FROM drawn
+"""
+
+
+def _located(kind: int, pattern: str) -> str:
+    """SQL list of (start, kind, stop, whole match, group 1) of a pattern's matches."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""list_transform(range(1, len(regexp_extract_all(t, {p}, 0)) + 1), lambda i: {{
+      'start': coalesce(CAST(list_sum(list_transform(regexp_split_to_array(t, {p})[1:i], lambda g: length(g))) AS BIGINT), 0)
+        + coalesce(CAST(list_sum(list_transform(regexp_extract_all(t, {p}, 0)[1:i - 1], lambda g: length(g))) AS BIGINT), 0),
+      'kind': {kind}, 'whole': regexp_extract_all(t, {p}, 0)[i], 'value': regexp_extract_all(t, {p}, 1)[i]}})"""
+
+
+def _op2() -> str:
+    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    joined = f"array_to_string(list_transform({{}}, lambda m: {names}[m.kind + 1] || ':' || m.start || ':' || m.stop), ',')"
+    full = "list_transform({}, lambda m: {{'start': m.start, 'kind': m.kind, 'stop': m.start + length(m.whole), 'whole': m.whole}})"
+    allow = " OR ".join("regexp_matches(m.whole, '" + p.replace("'", "''") + "')" for p in secrets.ALLOW)
+    bits = " ".join(f"WHEN regexp_matches(m.whole, '{p}') THEN {b}" for _, p, b in secrets.CLASSES[:-1])
+    window = """list_max(list_transform(range(1, length(m.whole) - 18), lambda i: list_sum(list_transform(list_distinct(string_split(substr(m.whole, i, 20), '')),
+      lambda ch: -(20 - length(replace(substr(m.whole, i, 20), ch, ''))) / 20 * log2((20 - length(replace(substr(m.whole, i, 20), ch, ''))) / 20)))))"""
+    token = f"([{secrets.TOKEN}]+)"
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT doc_id, {full.format('list_filter(' + _located(0, secrets.ASSIGN) + ', lambda m: length(m.value) >= 6)')} AS a,
+    {full.format('list_filter(' + _located(1, secrets.ACCESS) + ', lambda m: length(m.whole) >= 20)')} AS b,
+    {full.format(_located(2, secrets.HEX))} AS h,
+    CASE WHEN regexp_matches(t, '[{secrets.TOKEN}]{{20,}}') THEN {full.format('list_filter(' + _located(3, token) + ", lambda m: length(m.whole) >= 20 AND regexp_matches(m.whole, '[0-9]'))")} ELSE [] END AS c
+  FROM texts),
+based AS (SELECT *, list_sort(list_transform(a || b || h, lambda m: {{'start': m.start, 'kind': m.kind, 'stop': m.stop}})) AS base FROM found),
+added AS (
+  SELECT *, list_transform(list_filter(c, lambda m: len(list_filter(base, lambda x: x.start < m.stop AND m.start < x.stop)) = 0 AND NOT ({allow})
+    AND {window} >= CASE {bits} ELSE {secrets.CLASSES[-1][2]} END), lambda m: {{'start': m.start, 'kind': m.kind, 'stop': m.stop}}) AS more FROM based)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(b) AS BIGINT) AS n_access, CAST(len(h) AS BIGINT) AS n_hex,
+  sha256({joined.format('base')}) AS base_sha256, {joined.format('list_sort(base || more)')} AS spans FROM added
+"""
+
+
 OP5 = r"""
 WITH parts AS (
   SELECT page_id,
@@ -106,4 +180,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5, "op10_top_k": OP10}
+    return {"op1_mixing": OP1, "op2_secret_scan": _op2(), "op5_url_filter": OP5, "op10_top_k": OP10}
