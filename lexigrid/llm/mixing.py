@@ -104,7 +104,9 @@ def mix(
     parts = materialize(sized.groupBy(F.col("origin").alias("source"), fine.alias("fine")).agg(F.count("*").alias("rows"), F.sum("mix_size").alias("words")), "mix-parts")
     sources = parts.groupBy("source").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"))
     sources = targets(sources, weights, total, cap)
-    shards = F.least(F.lit(FINE), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("rows") / SHARD_ROWS, F.lit(1.0)))))).cast("int")
+    # the next power of two: it divides FINE
+    wanted = F.greatest(F.ceil(F.col("rows") / SHARD_ROWS), F.lit(1))
+    shards = F.least(F.lit(FINE), F.when(wanted == 1, 1).otherwise(F.pow(F.lit(2), F.length(F.bin(wanted - 1))))).cast("int")
     seats = F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / BLOCK_WORDS + 0.5).cast("long")
     sources = apportion(sources.withColumn("shards", shards).withColumn("__seats", seats), [], "target", "__seats", "s", "blocks").drop("__seats")
     sources = materialize(sources, "mix-sources")
@@ -140,7 +142,9 @@ def take(df: DataFrame, text_col: str = "text", length_col: str = "n_chars", pas
     words = f"regexp_extract_all({text_col}, {quoted(f'({WORD_PATTERN}{BLANK_PATTERN}*)')}, 1)"
     mixed = mixed.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
     mixed = mixed.where(F.exists("mix_runs", lambda r: r["times"] >= F.col("__pass")))
-    part = f"array_join(flatten(transform(filter(mix_runs, r -> r.times >= __pass), r -> slice({words}, CAST(r.start + 1 AS INT), CAST(r.stop - r.start AS INT)))), '')"
+    # the words are bound once for all runs of the text
+    part = f"""element_at(transform(array({words}), w -> array_join(flatten(transform(filter(mix_runs, r -> r.times >= __pass),
+      r -> slice(w, CAST(r.start + 1 AS INT), CAST(r.stop - r.start AS INT)))), '')), 1)"""
     text = F.when(F.forall("mix_runs", lambda r: r["times"] >= F.col("__pass")), F.col(text_col)).otherwise(F.expr(part))
     mixed = mixed.withColumn(text_col, text)
     if length_col in columns:
