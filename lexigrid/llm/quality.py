@@ -23,6 +23,8 @@ from .common import BLANKS, arrow_map
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "blank", "punctuation", "symbol", "other")
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
+#: From this many words on windows are numbered instead of held as tuples.
+LONG_WORDS = 20_000
 
 
 @dataclass(frozen=True)
@@ -104,6 +106,8 @@ def repeated_words(words: list, window: int = WINDOW) -> int:
     """Words that lie in a window of `window` words which the list holds twice or more."""
     if len(words) <= window:
         return 0
+    if len(words) > LONG_WORDS:
+        return _repeated_in_long(words, window)
     grams = list(zip(*(words[i:] for i in range(window)), strict=False))
     counts = Counter(grams)
     if len(counts) == len(grams):
@@ -116,6 +120,22 @@ def repeated_words(words: list, window: int = WINDOW) -> int:
     return covered
 
 
+def _repeated_in_long(words: list, window: int) -> int:
+    """The same count in a few numbers a word: windows get exact numbers by pairing those of
+    windows of half the length (the last two may overlap)."""
+    index: dict = {}
+    codes, size = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)), 1
+    while size < window:
+        step = min(size, window - size)
+        pairs = codes[:-step] * (int(codes.max()) + 1) + codes[step:]
+        codes, size = np.unique(pairs, return_inverse=True)[1].astype(np.int64), size + step
+    twice = np.flatnonzero(np.bincount(codes)[codes] > 1)
+    edges = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edges, twice, 1)
+    np.add.at(edges, twice + window, -1)
+    return int((np.cumsum(edges)[:-1] > 0).sum())
+
+
 def measure(text: str, lang: str | None, rules: QualityRules) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
     word_distance, base_failed, kept of one whole text."""

@@ -36,6 +36,18 @@ def test_quality_counts(spark):
     assert found.where("base_failed AND kept").count() == 0
 
 
+def test_long_documents_count_alike(monkeypatch):
+    rnd = random.Random(2)
+    for n in (9, 40, 300, 3000):
+        for window in (1, 2, 3, 5, 8):
+            words = [rnd.choice("abc") + rnd.choice("12345") for _ in range(n)]
+            words[n // 2 : n // 2 + 12] = words[:12]
+            monkeypatch.setattr(quality, "LONG_WORDS", 10**9)
+            want = quality.repeated_words(words, window)
+            monkeypatch.setattr(quality, "LONG_WORDS", 0)
+            assert quality.repeated_words(words, window) == want
+
+
 def test_quality_verdicts():
     rnd, rules = random.Random(1), quality.QualityRules()
     good = prose(rnd, 300)
