@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import bpe, mixing, quality, secrets, simhash
+from lexigrid.llm import bpe, mixing, neardup, quality, secrets
 from lexigrid.session import materialize, ship, table
 
 
@@ -20,9 +20,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates: SimHash over
-    five-word shingles, linked at 4 or fewer of 64 differing bits."""
-    return simhash.keep_one(docs, width=5, radius=4)
+    """One document, that of the smallest id, of each group of near-duplicates: SimHash
+    candidates, linked at a similarity of 0.8 or more of their five-word shingles."""
+    return neardup.keep_one(docs, width=5, similarity=0.8)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

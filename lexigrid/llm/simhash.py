@@ -25,7 +25,7 @@ BITS = 64
 #: Buckets above this size are compared in pairs of chunks of about this size.
 CHUNK_ROWS = 1024
 #: More blocks are chosen when an average bucket would exceed this.
-MEAN_BUCKET = 512
+MEAN_BUCKET = 1024
 #: Hot buckets are broadcast up to this number (24 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -162,61 +162,79 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return labels
 
 
-def forest(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of what its bucket connects) of all buckets in `keys`."""
+def forest(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, other: np.ndarray | None = None, other_radius: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of what its bucket connects) of all buckets in `keys`; with
+    `other` fingerprints these must be within `other_radius` as well."""
     order = np.lexsort((node, keys))
     keys, fp, node = keys[order], fp[order], node[order]
     size = np.diff(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])) if len(keys) else np.zeros(0, int)
     many = np.repeat(size, size) > 1
     keys, fp, node = keys[many], fp[many], node[many]
+    other = None if other is None else other[order][many]
     labels = np.arange(len(keys))
     for a, b in near_pairs(keys, fp, radius):
+        if other is not None:
+            fits = np.bitwise_count(other[a] ^ other[b]) <= other_radius
+            a, b = a[fits], b[fits]
         labels = merge_labels(labels, a, b)
     linked = np.flatnonzero(labels != np.arange(len(labels)))
     return node[linked], node[labels[linked]]
 
 
-def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 4, other_radius: int | None = None) -> DataFrame:
     """Edges (a, b) that connect exactly what links within the radius connect.
 
-    nodes: fp long (distinct), node long. Buckets over CHUNK_ROWS are split by hash into
+    nodes: fp long, node long (distinct); with `other_radius` also other long, a second
+    fingerprint that a link must fulfil. Buckets over CHUNK_ROWS are split by hash into
     chunks, and each pair of chunks is a group of its own.
     """
+    more = [] if other_radius is None else ["other"]
     if not 0 <= radius <= 7:
         raise ValueError("a radius from 0 to 7")
     masks = bucket_masks(nodes.count(), radius)
     key = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for i, m in enumerate(masks))))
-    rows = nodes.select("fp", "node", key.alias("key")).select("key.k", "key.v", "fp", "node")
+    rows = nodes.select("fp", "node", *more, key.alias("key")).select("key.k", "key.v", "fp", "node", *more)
     hot = materialize(rows.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK_ROWS), "hot")
     n_hot = hot.count()
     if n_hot:
         rows = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, ["k", "v"], "left")
         chunks = F.coalesce(F.ceil(F.col("n") / F.lit(CHUNK_ROWS)), F.lit(1)).cast("int")
-        rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        pair = [F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")]
-        rows = rows.select("k", "v", *pair, "fp", "node")
+        rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        pair = [F.least("own", "partner").alias("x"), F.greatest("own", "partner").alias("y")]
+        rows = rows.select("k", "v", *pair, "fp", "node", *more)
     else:
-        rows = rows.select("k", "v", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp", "node")
+        rows = rows.select("k", "v", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp", "node", *more)
     # a 64-bit hash names the group: if two groups ever shared it they would only be compared with each other as well
-    rows = rows.select(F.xxhash64("k", "v", "x", "y").alias("g"), "fp", "node")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(F.xxhash64("k", "v", "x", "y").alias("g"), "fp", "node", *more)
+
+    def edges(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        other = cols[3].view(np.uint64) if more else None
+        return forest(cols[0], cols[1].view(np.uint64), cols[2], radius, other, other_radius or 0)
+
+    return by_group(rows, edges)
+
+
+def by_group(rows: DataFrame, edges) -> DataFrame:
+    """(a, b) from `edges`, called with the columns (as arrays) of whole groups `g` of rows,
+    as many groups at once as an Arrow batch holds."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         rest = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             cut = len(cols[0]) and int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
             rest = [x[cut:] for x in cols]
             if cut:
-                yield edges([x[:cut] for x in cols])
+                yield made([x[:cut] for x in cols])
         if rest is not None and len(rest[0]):
-            yield edges(rest)
+            yield made(rest)
 
-    def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = forest(cols[0], cols[1].view(np.uint64), cols[2], radius)
+    def made(cols: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = edges(cols)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return rows.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
@@ -266,27 +284,3 @@ def groups(df: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id
     of = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
     found = prints.join(of, "fp", "left")
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without all but one document of each group: the one with the smallest id stays.
-
-    Of rows that repeat that id one stays; of rows without an id one for each fingerprint
-    that no row with an id reaches.
-    """
-    found = materialize(groups(df, width, radius, id_col, text_col), "groups")
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay"))
-    ids = stay.agg(F.count("*"), F.count_distinct("__stay")).first()
-    kept = df.join(stay.distinct() if ids[0] != ids[1] else stay, F.col(id_col) == F.col("__stay"), "left_semi")
-    if ids[0] != ids[1]:
-        kept = kept.dropDuplicates([id_col])
-    if found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).limit(1).count():
-        lone = df.where(F.col(id_col).isNull())
-        alone = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-        marked = lone.withColumn("__fp", _print_of(width)(F.col(text_col)))
-        kept = kept.unionByName(marked.join(alone, F.col("__fp") == F.col("fingerprint"), "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
-    return kept
-
-
-def _print_of(width: int):
-    return F.arrow_udf(lambda texts: pa.array([f"{fingerprint(x, width):016x}" for x in texts.to_pylist()], pa.string()), "string")

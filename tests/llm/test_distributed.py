@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexigrid.llm import mixing, sharding, simhash, topk
+from lexigrid.llm import mixing, neardup, sharding, simhash, topk
 
 from .helpers import SCHEMA, WORD, frame, odd_documents, prose, rows
 
@@ -262,16 +262,92 @@ def test_groups(spark):
     assert simhash.groups(df.where("false")).count() == 0
 
 
+def plain_similar(data, width=5, similarity=0.8):
+    """id -> smallest id over Jaccard links; data: rows with ids."""
+    sets, keys = {}, {}
+    for i, t, *_ in data:
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(words)} if len(words) < width else {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
+        keys[i] = tuple(words)
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            shared = len(sets[i] & sets[j])
+            if keys[i] == keys[j] or (keys[i] and keys[j] and shared >= similarity * len(sets[i] | sets[j])):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def edited_copies(rnd, n=25):
+    data = []
+    for g in range(n):
+        base = prose(rnd, rnd.choice([30, 120, 500])).split()
+        for c in range(rnd.choice([1, 2, 8])):
+            words = list(base)
+            for _ in range(rnd.randint(0, max(1, len(words) // 60)) if c else 0):
+                words[rnd.randrange(len(words))] = "changed"
+            data.append((1000 + g * 100 + c, " ".join(words), "en", "s", 1))
+    return data
+
+
+def test_similar_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FAMILY_ROWS", 3)  # so that families are split
+    data = [r for r in odd_documents() if r[0] is not None] + edited_copies(random.Random(3))
+    got = {(r.id, r.component_id) for r in neardup.groups(frame(spark, data)).collect()}
+    want = plain_similar(data)
+    assert got == set(want.items())
+    assert len(set(want.values())) < len(want) - 15
+    assert neardup.groups(frame(spark).where("false")).count() == 0
+
+
+def found_share(pairs):
+    """Share of the pairs of texts that lie within the radius in one of the fingerprints."""
+    near = 0
+    for a, b in pairs:
+        x, y = neardup.split_words(a), neardup.split_words(b)
+        sims = [(neardup.simhash(neardup.hashes(x, n)) ^ neardup.simhash(neardup.hashes(y, n))).bit_count() for n in (1, 2, 5)]
+        near += min(sims) <= neardup.RADIUS and sims[2] <= neardup.SHINGLE_RADIUS
+    return near / len(pairs)
+
+
+def similarity(a, b):
+    x, y = (set(neardup.hashes(neardup.split_words(t), 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_of_candidates():
+    rnd, edits, blocks = random.Random(11), [], []
+    while len(edits) < 150 or len(blocks) < 150:
+        base = prose(rnd, rnd.choice([60, 150, 400])).split()
+        words = list(base)
+        for _ in range(max(1, len(words) // 60)):
+            words[rnd.randrange(len(words))] = rnd.choice(["changed", "edited", "new"])
+        at, block = rnd.randrange(len(base)), prose(rnd, max(1, len(base) // 12)).split()
+        for kept, other in ((edits, words), (blocks, base[:at] + block + base[at:])):
+            pair = " ".join(base), " ".join(other)
+            if similarity(*pair) >= 0.8:
+                kept.append(pair)
+    assert found_share(edits) >= 0.97
+    assert found_share(blocks) >= 0.75  # a new passage of a twelfth of the text
+
+
 def test_keep_one(spark):
-    data = odd_documents() + near_copies(random.Random(3))
+    data = odd_documents() + edited_copies(random.Random(4))
     df = frame(spark, data)
-    kept = simhash.keep_one(df)
+    kept = neardup.keep_one(df)
     assert kept.columns == df.columns
     ids = [r.doc_id for r in kept.collect()]
-    components = {r.component_id for r in simhash.groups(df).collect()}
-    assert sorted(set(ids), key=str) == sorted(components, key=str) and len(ids) == len(set(ids))
-    alone = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
-    assert simhash.keep_one(alone).count() == 2
+    assert sorted(ids) == sorted(set(plain_similar([r for r in data if r[0] is not None]).values()))
+    alone = spark.createDataFrame([(None, "a b c d e f"), (None, "A b c d e f"), (None, None)], "doc_id long, text string")
+    assert neardup.keep_one(alone).count() == 2
 
 
 # --- top-k -----------------------------------------------------------------------------------
