@@ -179,3 +179,45 @@ def link_targets(links: DataFrame, pages: DataFrame) -> DataFrame:
     found = found.join(full, F.col("path") == F.col("__p2"), "left")
     found = found.join(bare, (F.col("book") == F.col("__b3")) & (F.concat_ws("/", "book", F.regexp_replace("path", "^[^/]*/", "")) == F.col("__p3")), "left")
     return found.withColumn("target", F.coalesce("own", "prefixed", "stripped")).drop("__b1", "__p1", "__p2", "__b3", "__p3", "own", "prefixed", "stripped")
+
+
+def owner_path(kind: Column, branch: Column, ancestors: Column) -> Column:
+    """Titles of the ancestors (array of title, path; root first) that own a page of this
+    class: tables and registers for query pages, all but the root for members, all (on the
+    platform branch: those with a page) for types, none for others."""
+    table = lambda a: F.startswith(a["path"], F.lit("objects/catalog")) | F.startswith(a["path"], F.lit("tables/")) | F.rlike(F.lower(a["title"]), F.lit("таблицы|table|регистр|register"))
+    titled = lambda a: F.trim(a["title"]) != ""
+    titles = lambda found: F.transform(found, lambda a: F.trim(a["title"]))
+    rest = F.slice(ancestors, F.lit(2), F.greatest(F.size(ancestors) - 1, F.lit(0)))
+    typed = F.when(branch == "platform_objects", F.filter(ancestors, lambda a: a["path"] != "")).otherwise(ancestors)
+    return (
+        F.when(kind.isin("query_table", "query_table_field", "query_table_parameter"), titles(F.filter(ancestors, table)))
+        .when(kind.isin("module_event", "type_event", "unknown_event", "object_property", "constructor", "object_method"), titles(F.filter(rest, titled)))
+        .when(kind == "object_type", titles(typed))
+        .otherwise(F.array().cast("array<string>"))
+    )
+
+
+def attach(parents: DataFrame, children: DataFrame, key: str, name: str, order: str = "seq") -> DataFrame:
+    """parents (unique in key) with their children as an array of structs in `order`;
+    children without a parent are dropped."""
+    columns = [order, *(c for c in children.columns if c not in (key, order))]
+    nested = children.groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    empty = F.array_compact(F.array(F.lit(None)))
+    joined = parents.join(nested, parents[key] == F.col("__k"), "left").drop("__k")
+    return joined.withColumn(name, F.coalesce(F.col(name), empty.cast(nested.schema[name].dataType)))
+
+
+def page_diagnostics(pages: DataFrame) -> DataFrame:
+    """(code, id) of pages (id, page_class, has_syntax, owner, overload_returns): unknown
+    pages, callables without syntax, members without an owner, differing overload returns."""
+    kind = F.col("page_class")
+    codes = F.array_compact(
+        F.array(
+            F.when(kind.isin("unknown", "unknown_event"), "UNKNOWN_PAGE"),
+            F.when(kind.isin("object_method", "global_method", "constructor") & ~F.col("has_syntax"), "MISSING_SYNTAX"),
+            F.when(kind.isin("object_method", "object_property", "constructor", "type_event", "enum_value", "query_table_field", "query_table_parameter") & F.col("owner").isNull(), "MISSING_OWNER"),
+            F.when(F.size(F.array_distinct("overload_returns")) > 1, "MULTIPLE_OVERLOAD_RETURNS"),
+        )
+    )
+    return pages.select(F.explode(codes).alias("code"), "id")

@@ -231,3 +231,22 @@ def test_composite_resolver(spark):
     assert both.members("b/t")[0] == "unsupported"
     assert [r.id for r in both.module_members("object", "a/t")[1].collect()] == ["p", "m"]
     assert both.module_members("session", "a/t")[0] == "unsupported"
+
+
+def test_owner_paths_and_children(spark):
+    chain = F.array(*(F.struct(F.lit(t).alias("title"), F.lit(p).alias("path")) for t, p in (("Root", "objects/x.html"), ("Register tables", "q"), (" ", "e"), ("Type", ""))))
+    path = lambda kind, branch="x": spark.range(1).select(tree.owner_path(F.lit(kind), F.lit(branch), chain).alias("p")).first().p
+    assert path("query_table") == ["Register tables"]
+    assert path("object_method") == ["Register tables", "Type"]
+    assert path("object_type", "platform_objects") == ["Root", "Register tables", ""]
+    assert path("enum") == []
+    parents = spark.createDataFrame([("a", 1), ("b", 2)], "key string, v int")
+    children = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("z", 1, "lost")], "key string, seq int, name string")
+    found = {r.key: [c.name for c in r.fields] for r in tree.attach(parents, children, "key", "fields").collect()}
+    assert found == {"a": ["x", "y"], "b": []}
+
+
+def test_page_diagnostics(spark):
+    rows_ = [("1", "unknown", True, None, None), ("2", "object_method", False, None, ["A", "B"]), ("3", "object_method", True, "o", ["A", "A"])]
+    df = spark.createDataFrame(rows_, "id string, page_class string, has_syntax boolean, owner string, overload_returns array<string>")
+    assert rows(tree.page_diagnostics(df)) == [("MISSING_OWNER", "2"), ("MISSING_SYNTAX", "2"), ("MULTIPLE_OVERLOAD_RETURNS", "2"), ("UNKNOWN_PAGE", "1")]
