@@ -135,7 +135,8 @@ def groups(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id
         return linked(cols[0], cols[1], [c.view(np.uint64) for c in cols[2:5]], [np.frombuffer(x, np.uint64) for x in cols[5]], similarity)
 
     roots = connected(by_group(rows, edges))
-    of = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
+    # written first: both sides of the last join are then plain shuffles, whose hot key can be split
+    of = materialize(nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id")), "components")
     return found.select("id", "key").join(of, "key", "left")
 
 

@@ -281,6 +281,7 @@ def groups(df: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id
     linked = roots.union(roots.select("root", "root").distinct())
     smallest = linked.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("id").alias("component_id"))
     named = linked.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
-    of = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    # written first: both sides of the last join are then plain shuffles, whose hot key can be split
+    of = materialize(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")), "components")
     found = prints.join(of, "fp", "left")
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
