@@ -32,13 +32,14 @@ def bm25(documents: DataFrame, text: Column | str, query: str, id_col: str = "id
     )
     if not terms:
         return counted.withColumn("score", F.lit(0.0)).where("false")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
-    scored = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row
-    total = F.lit(0.0)
+    # one row of corpus statistics
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]).first()
+    scored = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))))
+    n, mean, total = F.lit(stats["n"]), F.lit(stats["mean"] or 1.0), F.lit(0.0)
     for i in range(len(terms)):
-        df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
-        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-        total = total + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        df, tf = F.lit(stats[f"df{i}"] or 0), F.col(f"tf{i}")
+        idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        total = total + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / mean))
     return scored.select("id", "length", (-total).alias("score"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +47,9 @@ def relative_to(df: DataFrame, keys: Sequence[str], variant: str, baseline: str,
 
 def missing_cells(df: DataFrame, dimensions: dict[str, Sequence[str]]) -> DataFrame:
     """Cells of the expected matrix (the product of the given short lists) without a row."""
-    spark, expected = df.sparkSession, None
-    for name, values in dimensions.items():
-        axis = spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
-        expected = axis if expected is None else expected.join(axis)
+    names = list(dimensions)
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*names).schema.fields}
+    expected = df.sparkSession.createDataFrame(list(product(*dimensions.values())), ", ".join(f"`{n}` {kinds[n]}" for n in names))
     return expected.join(df.select(*dimensions).distinct(), list(dimensions), "left_anti")
 
 
