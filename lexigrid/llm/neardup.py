@@ -105,8 +105,8 @@ def groups(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id
     """
     found = materialize(prints(df, width, id_col, text_col), "near-prints")
     nodes = materialize(found.where("id IS NOT NULL").groupBy("key").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in PRINTS]), "near-nodes")
-    near = [links(nodes.select(F.col(c).alias("fp"), "node", F.col("shingles").alias("other")), RADIUS, SHINGLE_RADIUS) for c in PRINTS]
-    families = connected(near[0].union(near[1]).union(near[2]))
+    near = links(nodes.select("node", *PRINTS, F.col("shingles").alias("other")), RADIUS, SHINGLE_RADIUS, PRINTS)
+    families = connected(near)
     families = materialize(families.union(families.select("root", "root").distinct()), "families")
     sized = families.join(families.groupBy("root").agg(F.count("*").alias("n")), "root")
     members = materialize(sized.join(nodes.select("node", "key", *PRINTS).dropDuplicates(["node"]), "node"), "near-members")
@@ -149,7 +149,8 @@ def keep_one(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     found = materialize(groups(df, width, similarity, id_col, text_col), "groups")
     stay = found.where("id = component_id").select(F.col("id").alias("__stay"))
     ids = stay.agg(F.count("*"), F.count_distinct("__stay")).first()
-    kept = df.join(stay.distinct() if ids[0] != ids[1] else stay, F.col(id_col) == F.col("__stay"), "left_semi")
+    # a shuffle join at every size: the ids grow with the documents
+    kept = df.join((stay.distinct() if ids[0] != ids[1] else stay).hint("merge"), F.col(id_col) == F.col("__stay"), "left_semi")
     if ids[0] != ids[1]:
         kept = kept.dropDuplicates([id_col])
     alone = found.where("id IS NULL AND component_id IS NULL").select("key").distinct()

@@ -11,6 +11,7 @@ spanning forest: never more rows than it read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -181,30 +182,28 @@ def forest(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, othe
     return node[linked], node[labels[linked]]
 
 
-def links(nodes: DataFrame, radius: int = 4, other_radius: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect exactly what links within the radius connect.
+def links(nodes: DataFrame, radius: int = 4, other_radius: int | None = None, prints: Sequence[str] = ("fp",)) -> DataFrame:
+    """Edges (a, b) that connect exactly what links within the radius connect, in any one of
+    the fingerprints `prints`.
 
-    nodes: fp long, node long (distinct); with `other_radius` also other long, a second
-    fingerprint that a link must fulfil. Buckets over CHUNK_ROWS are split by hash into
-    chunks, and each pair of chunks is a group of its own.
+    nodes: node long (distinct) and the fingerprints, long; with `other_radius` also other
+    long, a further fingerprint that a link must fulfil. Buckets over CHUNK_ROWS are split by
+    hash into chunks, and each pair of chunks is a group of its own.
     """
     more = [] if other_radius is None else ["other"]
     if not 0 <= radius <= 7:
         raise ValueError("a radius from 0 to 7")
     masks = bucket_masks(nodes.count(), radius)
-    key = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for i, m in enumerate(masks))))
-    rows = nodes.select("fp", "node", *more, key.alias("key")).select("key.k", "key.v", "fp", "node", *more)
+    keys = [(p, signed(m)) for p in prints for m in masks]
+    key = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col(p).bitwiseAND(F.lit(m)).alias("v"), F.col(p).alias("fp")) for i, (p, m) in enumerate(keys))))
+    rows = nodes.select("node", *more, key.alias("key")).select("key.*", "node", *more)
     hot = materialize(rows.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK_ROWS), "hot")
-    n_hot = hot.count()
-    if n_hot:
-        rows = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, ["k", "v"], "left")
-        chunks = F.coalesce(F.ceil(F.col("n") / F.lit(CHUNK_ROWS)), F.lit(1)).cast("int")
-        rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        pair = [F.least("own", "partner").alias("x"), F.greatest("own", "partner").alias("y")]
-        rows = rows.select("k", "v", *pair, "fp", "node", *more)
-    else:
-        rows = rows.select("k", "v", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp", "node", *more)
+    rows = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, ["k", "v"], "left")
+    chunks = F.coalesce(F.ceil(F.col("n") / F.lit(CHUNK_ROWS)), F.lit(1)).cast("int")
+    rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pair = [F.least("own", "partner").alias("x"), F.greatest("own", "partner").alias("y")]
+    rows = rows.select("k", "v", *pair, "fp", "node", *more)
     # a 64-bit hash names the group: if two groups ever shared it they would only be compared with each other as well
     rows = rows.select(F.xxhash64("k", "v", "x", "y").alias("g"), "fp", "node", *more)
 
@@ -254,7 +253,8 @@ def connected(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.select(F.col("a").alias("x"), F.col("b").alias("y")).union(now.select("b", "a"))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+        # written first, so that the join of a node with very many neighbours can be split
+        least = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")), "least")
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
