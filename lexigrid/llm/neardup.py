@@ -3,8 +3,12 @@
 SimHash finds the candidates: three fingerprints, of a text's distinct words, of its distinct
 word pairs and of its shingles. The first two change little where a few words change, so
 that similar texts lie within 7 bits in one of the three; the fingerprint of the shingles
-also sorts out texts that only share common words (over 20 bits apart). Candidates make families, and inside a family the shingle sets decide: two
-texts are linked if the Jaccard similarity of their sets is at least the threshold.
+also sorts out texts that only share common words (over 20 bits apart). A passage more or
+less moves those bits further, so MinHash bands of the shingles find candidates as well: two
+texts share one of the 20 bands of five least hashes with probability 1 - (1 - s^5)^20 at
+similarity s, over 0.9996 from 0.8 on, wherever the texts differ. Candidates make families,
+and inside a family the shingle sets decide: two texts are linked if the Jaccard similarity
+of their sets is at least the threshold.
 """
 
 from __future__ import annotations
@@ -21,6 +25,10 @@ from .simhash import BITS, BROADCAST_ROWS, by_group, connected, links, near_pair
 
 WIDTH, SIMILARITY, RADIUS, SHINGLE_RADIUS = 5, 0.8, 7, 20
 PRINTS = ("words", "pairs", "shingles")
+BAND_ROWS = 5
+BANDS = tuple(f"band{i}" for i in range(20))
+#: What makes BAND_ROWS hashes for each band out of one: (h ^ first) * second, second odd.
+MIXERS = np.random.default_rng(42).integers(0, 1 << 64, (2, len(BANDS) * BAND_ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 #: Families above this size are compared in pairs of chunks of about this size.
 FAMILY_ROWS = 512
 
@@ -42,28 +50,67 @@ def simhash(values: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(values)).view(">u8")[0])
 
 
+def bands(values: np.ndarray) -> list[int]:
+    """A hash for each band of the BAND_ROWS least mixed hashes (no hashes: zeros)."""
+    if not len(values):
+        return [0] * len(BANDS)
+    least = np.full(MIXERS.shape[1], (1 << 64) - 1, np.uint64)
+    for start in range(0, len(values), 1024):
+        np.minimum(least, ((values[start : start + 1024, None] ^ MIXERS[0]) * MIXERS[1]).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(len(BANDS), BAND_ROWS))]
+
+
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
 def prints(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, key (128-bit hash of the word sequence), words, pairs and shingles (SimHashes)."""
+    """id, key (128-bit hash of the word sequence), words, pairs and shingles (SimHashes), and the bands."""
 
     def per_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, cols = [], ([], [], [])
+        keys, cols = [], [[] for _ in (*PRINTS, *BANDS)]
         for text in batch.column(1).to_pylist():
             words = split_words(text)
             keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            for column, n in zip(cols, (1, 2, width), strict=True):
-                column.append(simhash(hashes(words, n)))
+            sets = [hashes(words, n) for n in (1, 2, width)]
+            for column, value in zip(cols, (*map(simhash, sets), *bands(sets[-1])), strict=True):
+                column.append(value)
         made = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in cols]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *made], ["id", "key", "words", "pairs", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *made], ["id", "key", *PRINTS, *BANDS])
 
-    schema = "id long, key binary, words long, pairs long, shingles long"
+    schema = "id long, key binary, " + ", ".join(f"{c} long" for c in (*PRINTS, *BANDS))
     return arrow_map(df, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], schema, per_slice)
 
 
-def linked(keys: np.ndarray, node: np.ndarray, prints_: list[np.ndarray], sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def band_edges(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) of every node to the smallest one of each band that it shares."""
+    rows = nodes.select("node", F.explode(F.array(*BANDS)).alias("band"))
+    first = rows.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
+    # written first: both sides of the join are then plain ones, whose hot band can be split
+    return rows.join(materialize(first, "bands"), "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def band_pairs(keys: np.ndarray, bands_: list[np.ndarray], root):
+    """Pairs (a, b) of row numbers of one key that share a band and have not met in an
+    earlier one, in portions; rows that `root` already connects are left out."""
+    for number, values in enumerate(bands_):
+        order = np.lexsort((values, keys))
+        new = (keys[order][1:] != keys[order][:-1]) | (values[order][1:] != values[order][:-1])
+        edges = np.flatnonzero(np.r_[True, new, True])
+        for start in np.flatnonzero(np.diff(edges) > 1):
+            rows = order[edges[start] : edges[start + 1]]
+            roots = np.array([root(i) for i in rows.tolist()])
+            if (roots == roots[0]).all():
+                continue
+            for k in range(len(rows) - 1):
+                others = rows[k + 1 :][roots[k + 1 :] != roots[k]]
+                for earlier in bands_[:number]:
+                    others = others[earlier[others] != earlier[rows[k]]]
+                if len(others):
+                    yield np.repeat(rows[k], len(others)), others
+
+
+def linked(keys: np.ndarray, node: np.ndarray, prints_: list[np.ndarray], bands_: list[np.ndarray], sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node) of what the similarity connects within each key; keys are
     sorted. Pairs already connected are not compared again."""
     up = list(range(len(keys)))
@@ -74,20 +121,25 @@ def linked(keys: np.ndarray, node: np.ndarray, prints_: list[np.ndarray], sets:
             i = up[i]
         return i
 
+    def compare(pairs) -> None:
+        for i, j in pairs:
+            x, y = root(i), root(j)
+            if x == y:
+                continue
+            m, n = len(sets[i]), len(sets[j])
+            if min(m, n) < similarity * max(m, n):
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if shared >= similarity * (m + n - shared):
+                small, large = (x, y) if node[x] <= node[y] else (y, x)
+                up[large] = small
+
     for values in prints_:
         for a, b in near_pairs(keys, values, RADIUS):
             order = np.argsort(np.bitwise_count(values[a] ^ values[b]), kind="stable")
-            for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
-                x, y = root(i), root(j)
-                if x == y:
-                    continue
-                m, n = len(sets[i]), len(sets[j])
-                if min(m, n) < similarity * max(m, n):
-                    continue
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if shared >= similarity * (m + n - shared):
-                    small, large = (x, y) if node[x] <= node[y] else (y, x)
-                    up[large] = small
+            compare(zip(a[order].tolist(), b[order].tolist(), strict=True))
+    for a, b in band_pairs(keys, bands_, root):
+        compare(zip(a.tolist(), b.tolist(), strict=True))
     roots = np.array([root(i) for i in range(len(keys))], dtype=np.int64)
     moved = np.flatnonzero(roots != np.arange(len(keys)))
     return node[moved], node[roots[moved]]
@@ -104,12 +156,12 @@ def groups(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id
     that share an id are one document.
     """
     found = materialize(prints(df, width, id_col, text_col), "near-prints")
-    nodes = materialize(found.where("id IS NOT NULL").groupBy("key").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in PRINTS]), "near-nodes")
+    nodes = materialize(found.where("id IS NOT NULL").groupBy("key").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in (*PRINTS, *BANDS)]), "near-nodes")
     near = links(nodes.select("node", *PRINTS, F.col("shingles").alias("other")), RADIUS, SHINGLE_RADIUS, PRINTS)
-    families = connected(near)
+    families = connected(near.union(band_edges(nodes)))
     families = materialize(families.union(families.select("root", "root").distinct()), "families")
     sized = families.join(families.groupBy("root").agg(F.count("*").alias("n")), "root")
-    members = materialize(sized.join(nodes.select("node", "key", *PRINTS).dropDuplicates(["node"]), "node"), "near-members")
+    members = materialize(sized.join(nodes.select("node", "key", *PRINTS, *BANDS).dropDuplicates(["node"]), "node"), "near-members")
 
     few = members.select(F.col("node").alias("__node"))
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
@@ -129,10 +181,10 @@ def groups(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id
     chunks = F.ceil(F.col("n") / F.lit(FAMILY_ROWS)).cast("int")
     rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select(F.xxhash64("root", F.least("own", "partner"), F.greatest("own", "partner")).alias("g"), "node", *PRINTS, "hashes")
+    rows = rows.select(F.xxhash64("root", F.least("own", "partner"), F.greatest("own", "partner")).alias("g"), "node", *PRINTS, *BANDS, "hashes")
 
     def edges(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return linked(cols[0], cols[1], [c.view(np.uint64) for c in cols[2:5]], [np.frombuffer(x, np.uint64) for x in cols[5]], similarity)
+        return linked(cols[0], cols[1], [c.view(np.uint64) for c in cols[2:5]], cols[5:-1], [np.frombuffer(x, np.uint64) for x in cols[-1]], similarity)
 
     roots = connected(by_group(rows, edges))
     # written first: both sides of the last join are then plain shuffles, whose hot key can be split

@@ -338,6 +338,20 @@ def test_recall_of_candidates():
     assert found_share(blocks) >= 0.75  # a new passage of a twelfth of the text
 
 
+def test_passage_edits_are_linked(spark):
+    rnd, data = random.Random(17), []
+    while len(data) < 400:
+        base = prose(rnd, rnd.choice([60, 150, 400, 1500])).split()
+        n = max(1, int(len(base) * rnd.uniform(0.05, 0.2)))
+        at, block = rnd.randrange(len(base) - n), prose(rnd, n).split()
+        other = rnd.choice([base[:at] + block + base[at:], base[:at] + base[at + n :], base[:at] + block + base[at + n :]])
+        pair = " ".join(base), " ".join(other)
+        if 0.8 <= similarity(*pair) < 0.85:
+            data += [(len(data) + i, t) for i, t in enumerate(pair)]
+    roots = {r.id: r.component_id for r in neardup.groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(roots[i] == roots[i + 1] for i in range(0, 400, 2)) >= 0.99 * 200
+
+
 def test_keep_one(spark):
     data = odd_documents() + edited_copies(random.Random(4))
     df = frame(spark, data)
