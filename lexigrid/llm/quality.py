@@ -61,7 +61,7 @@ class QualityRules:
     max_repeat_percent: int = MAX_REPEAT_PERCENT
     #: Divergence is judged from this many words on, the word histogram from this many.
     min_class_words: int = 20
-    min_common_words: int = 200
+    min_common_words: int = 100
     max_class_distance: float = 0.3
     max_word_distance: float = 0.35
     references: dict[str, Reference] = field(default_factory=lambda: REFERENCES)

@@ -57,6 +57,16 @@ def test_quality_verdicts():
     assert quality.measure(good.upper(), "xx", rules)[-1]  # no reference, no verdict
 
 
+def test_short_tables_are_rejected():
+    rnd, rules = random.Random(4), quality.QualityRules()
+    for n in (100, 150, 199):
+        cells = ["".join(rnd.choice("aeinorst") for _ in range(rnd.randint(4, 8))) for _ in range(n)]
+        table = "\n".join(" ".join(cells[i : i + 4]) + "|" for i in range(0, n, 4))
+        found = quality.measure(table, "en", rules)
+        assert found[0] == n and not found[7] and found[5] <= rules.max_class_distance and not found[-1]
+        assert quality.measure(prose(rnd, n), "en", rules)[-1]
+
+
 def test_js_distance():
     assert quality.js_distance([1, 2, 3], [2, 4, 6]) == pytest.approx(0, abs=1e-7)
     assert quality.js_distance([1, 0], [0, 1]) == pytest.approx(1)
