@@ -145,27 +145,27 @@ def linked(keys: np.ndarray, node: np.ndarray, prints_: list[np.ndarray], bands_
     return node[moved], node[roots[moved]]
 
 
-def groups(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, key and component_id (the smallest id that a text reaches over links) of every row
-    with an id; rows without one have component_id of their text, null if no row with an id
-    has it.
-
-    Words are runs of non-blanks with A-Z in lower case; texts of equal words count once.
-    Families are split into chunks, and each pair of chunks is a group of its own; edges
-    are a forest, so nothing grows with the square of a family. Ids must be integral; rows
-    that share an id are one document.
+def components(df: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """id and key (128-bit hash of the words) of every row; and key, component_id (the
+    smallest id, null if no row of the component has one) and first_key (the key of that
+    row) of every text.
+
+    The nodes are the texts, whatever their ids: rows that repeat an id or have none go
+    through the same links. Families are split into chunks, and each pair of chunks is a
+    group of its own; edges are a forest, so nothing grows with the square of a family.
     """
     found = materialize(prints(df, width, id_col, text_col), "near-prints")
-    nodes = materialize(found.where("id IS NOT NULL").groupBy("key").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in (*PRINTS, *BANDS)]), "near-nodes")
+    nodes = found.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in (*PRINTS, *BANDS)])
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     near = links(nodes.select("node", *PRINTS, F.col("shingles").alias("other")), RADIUS, SHINGLE_RADIUS, PRINTS)
     families = connected(near.union(band_edges(nodes)))
     families = materialize(families.union(families.select("root", "root").distinct()), "families")
     sized = families.join(families.groupBy("root").agg(F.count("*").alias("n")), "root")
-    members = materialize(sized.join(nodes.select("node", "key", *PRINTS, *BANDS).dropDuplicates(["node"]), "node"), "near-members")
+    members = materialize(sized.join(nodes.select("node", "id", "key", *PRINTS, *BANDS), "node"), "near-members")
 
-    few = members.select(F.col("node").alias("__node"))
-    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, F.col("node") == F.col("__node"), "left_semi")
+    few = members.select(F.col("id").alias("__id"))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
 
     def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, sets = [], []
@@ -173,11 +173,11 @@ def groups(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id
             words = split_words(text)
             keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
             sets.append(hashes(words, width).tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["node", "key", "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "hashes"])
 
-    sets = arrow_map(texts, ["node", "text"], "node long, key binary, hashes binary", shingled)
-    sets = materialize(sets, "near-sets").dropDuplicates(["node", "key"])
-    rows = members.join(sets, ["node", "key"])
+    sets = arrow_map(texts, ["id", "text"], "key binary, hashes binary", shingled)
+    sets = materialize(sets, "near-sets").dropDuplicates(["key"])
+    rows = members.join(sets, "key")
     chunks = F.ceil(F.col("n") / F.lit(FAMILY_ROWS)).cast("int")
     rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -187,29 +187,40 @@ def groups(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id
         return linked(cols[0], cols[1], [c.view(np.uint64) for c in cols[2:5]], cols[5:-1], [np.frombuffer(x, np.uint64) for x in cols[-1]], similarity)
 
     roots = connected(by_group(rows, edges))
-    # written first: both sides of the last join are then plain shuffles, whose hot key can be split
-    of = materialize(nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id")), "components")
-    return found.select("id", "key").join(of, "key", "left")
+    roots = materialize(roots.union(roots.select("root", "root").distinct()), "near-roots")
+    smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")
+    named = roots.join(roots.join(nodes.select("node", "id", "key"), "node").groupBy("root").agg(smallest), "root").select("node", "least")
+    # written first: both sides of the joins with it are then plain shuffles, whose hot key can be split
+    of = nodes.select("node", "id", "key").join(named, "node", "left")
+    of = of.select("key", F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"), F.coalesce("least.key", "key").alias("first_key"))
+    return found.select("id", "key"), materialize(of, "components")
 
 
-def keep_one(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without all but one document of each group: the one with the smallest id stays.
+def groups(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, key and component_id (the smallest id that a text reaches over links, null if it
+    reaches none) of every row.
 
-    Of rows that repeat that id one stays; of rows without an id one for each text that no
-    row with an id has. An id must be integral.
+    Words are runs of non-blanks with A-Z in lower case; texts of equal words count once.
+    Ids must be integral; rows that share an id but not a text are linked only if their
+    texts are.
     """
-    found = materialize(groups(df, width, similarity, id_col, text_col), "groups")
-    stay = found.where("id = component_id").select(F.col("id").alias("__stay"))
-    ids = stay.agg(F.count("*"), F.count_distinct("__stay")).first()
-    # a shuffle join at every size: the ids grow with the documents
-    kept = df.join((stay.distinct() if ids[0] != ids[1] else stay).hint("merge"), F.col(id_col) == F.col("__stay"), "left_semi")
-    if ids[0] != ids[1]:
-        kept = kept.dropDuplicates([id_col])
-    alone = found.where("id IS NULL AND component_id IS NULL").select("key").distinct()
-    if not alone.isEmpty():
-        marked = df.where(F.col(id_col).isNull()).withColumn("__key", key_of(F.col(text_col)))
-        kept = kept.unionByName(marked.join(alone, F.col("__key") == F.col("key"), "left_semi").dropDuplicates(["__key"]).drop("__key"))
-    return kept
+    found, of = components(df, width, similarity, id_col, text_col)
+    return found.join(of.drop("first_key"), "key", "left").select("id", "key", "component_id")
+
+
+def keep_one(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df without all but one document of each group: one with the smallest id stays, or one
+    of those without an id where no other is there. An id must be integral."""
+    found, of = components(df, width, similarity, id_col, text_col)
+    stay = of.where("key = first_key").select(F.col("component_id").alias("__stay"), F.col("key").alias("__stay_key"))
+    ids = found.agg(F.count("*"), F.count_distinct("id")).first()
+    if ids[0] == ids[1]:
+        # a shuffle join at every size: the ids grow with the documents
+        return df.join(stay.select("__stay").hint("merge"), F.col(id_col) == F.col("__stay"), "left_semi")
+    # the id does not name the text: null ids are spread by their texts
+    marked = df.withColumn("__key", key_of(F.col(text_col)))
+    same = (F.col("__key") == F.col("__stay_key")) & F.col(id_col).eqNullSafe(F.col("__stay"))
+    return marked.join(stay.hint("merge"), same, "left_semi").dropDuplicates([id_col, "__key"]).drop("__key")
 
 
 def key_of(text):

@@ -363,6 +363,16 @@ def test_keep_one(spark):
     assert neardup.keep_one(alone).count() == 2
 
 
+def test_keep_one_where_ids_do_not_name_texts(spark):
+    rnd = random.Random(6)
+    a, b, c, d = (prose(rnd, 200) for _ in range(4))
+    data = [(7, a), (7, b), (7, a), (9, b + " more"), (3, c), (5, c + " more"), (5, a + " more"), (None, d), (None, d + " more"), (None, d), (None, c + " again"), (None, None)]
+    kept = sorted(((r.doc_id, r.text) for r in neardup.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()), key=str)
+    first = next(t for i, t in kept if i is None and t)
+    assert first in (d, d + " more")
+    assert kept == sorted([(5, a + " more"), (7, b), (3, c), (None, first), (None, None)], key=str)
+
+
 # --- top-k -----------------------------------------------------------------------------------
 
 
