@@ -49,14 +49,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark)}/lexigrid/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that `materialize` has written for this application. DataFrames that read
+    it, which includes results that are not stored yet, cannot be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write `df` once as Parquet in the shared folder and return a reader of it.
 
     This cuts the lineage: a lost executor costs a re-read of the files, not the work
-    behind them. Files stay until the folder is cleaned.
+    behind them. Files stay until `release`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexigrid/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
