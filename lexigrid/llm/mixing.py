@@ -4,7 +4,10 @@ The words of the mix are dealt in blocks of equal size. Blocks go to sources, an
 source to its shards, by highest quotients (votes / (2 * seats + 1)), so that every shard
 has an integer quota before anything is selected. Within a shard the documents lie in a
 seeded order on one line of words that is cut into blocks; a seeded permutation of the
-block numbers picks the blocks that fill the quota, whole passes first.
+block numbers picks the blocks that fill the quota, whole passes first, and the last block
+that is picked gives only the words that are still due. The last block of a line may be
+short, so quotas are filled in words; what rounding to blocks left of a source's target is
+added to one of its shards.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import BLANK_PATTERN, WORD_PATTERN, quoted, word_count
 
-BLOCK_WORDS, FINE, SHARD_ROWS, SEED = 16, 4096, 256, "mix-1"
+BLOCK_WORDS, SHARD_ROWS, SEED = 16, 256, "mix-1"
 #: Quota and source tables up to this many rows are broadcast (under 100 bytes a row).
 BROADCAST_ROWS = 100_000
 PRIMES = (1000000007, 1500000001, 1900000043, 2147483647)
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_runs")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -78,75 +82,106 @@ def targets(sources: DataFrame, weights: Sequence[int], total: float, cap: float
     return found.withColumn("target", F.least(F.col("__cap"), F.col("__at") * F.col("weight"))).drop("__cap", "__ratio", "__all", "__level", "__at")
 
 
-def mix(
-    df: DataFrame,
-    weights: Sequence[int] = (5, 2, 1),
-    total: float = 1.5,
-    cap: float = 2.0,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-    size: str | Column | None = None,
-) -> DataFrame:
-    """df and the columns mix_size, mix_source_size, mix_target, mix_taken (words that the
-    mix takes of the document, repeats counted) and mix_runs, the blocks behind mix_taken:
-    array of (start, stop, times), word numbers of the document.
+def power_of_two(rows: Column) -> Column:
+    """The least power of two that makes shards of at most SHARD_ROWS of `rows` on average."""
+    wanted = F.greatest(F.ceil(rows / SHARD_ROWS), F.lit(1)).cast("long")
+    return F.when(wanted == 1, 1).otherwise(F.pow(F.lit(2), F.length(F.bin(wanted - 1)))).cast("long")
 
-    Documents are dealt to the shards of their source by a seeded hash and cut into blocks of
-    BLOCK_WORDS; a source has a shard for about SHARD_ROWS rows, at most FINE. A null source
-    is a source of its own, a null text has no words and is never taken; repeated rows are
-    mixed one by one. Equal input gives equal output, however it is partitioned. `cap` is a
-    whole number.
-    """
+
+def hashed(df: DataFrame) -> Column:
+    """A hash of all columns that have one (maps do not)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+
+
+def mixed(df: DataFrame, weights: Sequence[int], total: float, cap: float, id_col: str, source_col: str, size: str | Column | None) -> DataFrame:
+    """row (a struct of df's columns) and the columns that `mix` adds."""
     words = word_count("text") if size is None else (F.col(size) if isinstance(size, str) else size).cast("long")
-    sized = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("origin"), words.alias("mix_size"))
+    sized = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("origin"), words.alias("mix_size"), hashed(df).alias("tie"))
     sized = sized.withColumn("__h", seeded("id", "mix_size"))
-    fine = (F.col("__h") % FINE).cast("int")
-    parts = materialize(sized.groupBy(F.col("origin").alias("source"), fine.alias("fine")).agg(F.count("*").alias("rows"), F.sum("mix_size").alias("words")), "mix-parts")
+    # shards are powers of two, so those of every source divide the number of fine ones
+    fine = 1 << max(0, -(-df.count() // SHARD_ROWS) - 1).bit_length()
+    parts = sized.groupBy(F.col("origin").alias("source"), (F.col("__h") % fine).alias("fine")).agg(F.count("*").alias("rows"), F.sum("mix_size").alias("words"))
+    parts = materialize(parts, "mix-parts")
     sources = parts.groupBy("source").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"))
-    sources = targets(sources, weights, total, cap)
-    # the next power of two: it divides FINE
-    wanted = F.greatest(F.ceil(F.col("rows") / SHARD_ROWS), F.lit(1))
-    shards = F.least(F.lit(FINE), F.when(wanted == 1, 1).otherwise(F.pow(F.lit(2), F.length(F.bin(wanted - 1))))).cast("int")
+    sources = targets(sources, weights, total, cap).withColumn("shards", power_of_two(F.col("rows")))
     seats = F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / BLOCK_WORDS + 0.5).cast("long")
-    sources = apportion(sources.withColumn("shards", shards).withColumn("__seats", seats), [], "target", "__seats", "s", "blocks").drop("__seats")
-    sources = materialize(sources, "mix-sources")
+    sources = apportion(sources.withColumn("__seats", seats), [], "target", "__seats", "s", "blocks").drop("__seats")
+    sources = materialize(sources.withColumn("due", F.floor(F.col("target") + 0.5).cast("long")), "mix-sources")
     known = small(sources.select("source", "s", "shards", F.col("words").alias("mix_source_size"), F.col("target").alias("mix_target")))
-    by_shard = parts.join(small(sources.select(F.col("source").alias("__source"), "s", "shards", "blocks")), F.col("source").eqNullSafe(F.col("__source")))
-    by_shard = by_shard.groupBy("s", (F.col("fine") % F.col("shards")).alias("shard")).agg(F.sum("words").alias("n"), F.first("blocks").alias("blocks"))
-    quotas = apportion(by_shard, ["s"], "n", "blocks", "shard", "quota")
-    m = F.ceil(F.col("n") / BLOCK_WORDS).cast("long")
-    quotas = quotas.where("n > 0").withColumn("m", m).withColumn("quota", F.least(F.col("quota"), F.lit(int(cap)) * F.col("m")))
-    draw = seeded("s", "shard")
-    quotas = quotas.select("s", "shard", "m", (F.col("quota") / F.col("m")).cast("long").alias("base"), (F.col("quota") % F.col("m")).alias("extra"), (draw % F.col("m")).alias("c"), F.element_at(F.array(*map(F.lit, PRIMES)), (draw % len(PRIMES) + 1).cast("int")).cast("long").alias("p"))
+    by_shard = parts.join(small(sources.select(F.col("source").alias("__source"), "s", "shards", "blocks", "due")), F.col("source").eqNullSafe(F.col("__source")))
+    by_shard = by_shard.groupBy("s", (F.col("fine") % F.col("shards")).alias("shard")).agg(F.sum("words").alias("n"), F.first("blocks").alias("blocks"), F.first("due").alias("due"))
+    quotas = materialize(apportion(by_shard, ["s"], "n", "blocks", "shard", "quota").where("n > 0"), "mix-shards")
+    # the shard of the highest quota, ties to the smaller number, takes what rounding left
+    most = quotas.groupBy("s").agg(F.min_by("shard", F.struct(-F.col("quota"), "shard")).alias("most"))
+    quotas = quotas.join(small(most), "s")
+    rest = F.when(F.col("shard") == F.col("most"), F.col("due") - BLOCK_WORDS * F.col("blocks")).otherwise(0)
+    quotas = quotas.withColumn("quota", F.least(F.greatest(BLOCK_WORDS * F.col("quota") + rest, F.lit(0)), F.floor(F.lit(float(cap)) * F.col("n"))).cast("long"))
+    draw, m = seeded("s", "shard"), F.ceil(F.col("n") / BLOCK_WORDS).cast("long")
+    quotas = quotas.withColumn("m", m).withColumn("draw", draw).withColumn("c", F.col("draw") % F.col("m"))
+    quotas = quotas.withColumn("p", F.element_at(F.array(*map(F.lit, PRIMES)), (F.col("draw") % len(PRIMES) + 1).cast("int")).cast("long"))
+    # the place of the short last block among the picked ones, and the words that it lacks
+    quotas = quotas.withColumn("last", ((F.col("m") - 1) * F.col("p") + F.col("c")) % F.col("m")).withColumn("lacks", F.col("m") * BLOCK_WORDS - F.col("n"))
+    quotas = quotas.select("s", "shard", "m", "c", "p", "last", "lacks", F.expr("quota DIV n").alias("base"), (F.col("quota") % F.col("n")).alias("extra"))
     quotas = small(materialize(quotas, "mix-quotas"))
 
     known = known.withColumnRenamed("source", "__source")
     found = sized.join(known, F.col("origin").eqNullSafe(F.col("__source")))
-    found = found.withColumn("shard", (F.col("__h") % F.col("shards")).cast("int"))
-    line = Window.partitionBy("s", "shard").orderBy("__h", "id", "mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("shard", F.col("__h") % F.col("shards"))
+    line = Window.partitionBy("s", "shard").orderBy("__h", "id", "mix_size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = found.withColumn("__o", F.sum("mix_size").over(line) - F.col("mix_size"))
     found = found.join(quotas, ["s", "shard"], "left")
-    b, block = BLOCK_WORDS, "CASE WHEN mix_size > 0 AND m IS NOT NULL THEN sequence(__o DIV {b}, (__o + mix_size - 1) DIV {b}) ELSE CAST(array() AS array<bigint>) END"
-    runs = f"""transform({block.format(b=b)}, j -> named_struct('start', greatest(j * {b}, __o) - __o,
-        'stop', least((j + 1) * {b}, __o + mix_size) - __o, 'times', base + CASE WHEN (j * p + c) % m < extra THEN 1L ELSE 0L END))"""
-    found = found.withColumn("mix_runs", F.expr(runs))
+    # block j has place k in the seeded order; once more than `base` it gives its words up to number `upto`
+    b = BLOCK_WORDS
+    runs = f"""CASE WHEN mix_size > 0 AND m IS NOT NULL THEN flatten(transform(transform(
+        sequence(__o DIV {b}, (__o + mix_size - 1) DIV {b}), j -> named_struct('j', j, 'k', (j * p + c) % m)),
+      x -> transform(array(greatest(0L, least({b}L, extra - {b} * x.k + CASE WHEN last < x.k THEN lacks ELSE 0L END))), upto -> array(
+        named_struct('start', greatest(x.j * {b}, __o) - __o, 'stop', least(x.j * {b} + upto, __o + mix_size) - __o, 'times', base + 1),
+        named_struct('start', greatest(x.j * {b} + upto, __o) - __o, 'stop', least((x.j + 1) * {b}, __o + mix_size) - __o, 'times', base)))))
+      ELSE CAST(array() AS array<array<struct<start:bigint,stop:bigint,times:bigint>>>) END"""
+    found = found.withColumn("mix_runs", F.expr(f"filter(flatten({runs}), r -> r.start < r.stop)"))
     found = found.withColumn("mix_taken", F.expr("aggregate(mix_runs, 0L, (acc, r) -> acc + (r.stop - r.start) * r.times)"))
-    return found.select("row.*", "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_runs")
+    return found.select("row", *ADDED)
+
+
+def mix(
+    df: DataFrame,
+    weights: Sequence[int] = (5, 2, 1),
+    total: float = 1.5,
+    cap: float = 2.0,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    size: str | Column | None = None,
+) -> DataFrame:
+    """df and the columns mix_size, mix_source_size, mix_target, mix_taken (words that the
+    mix takes of the document, repeats counted) and mix_runs, the runs of words behind
+    mix_taken: array of (start, stop, times), word numbers of the document. Columns of df
+    with these names are replaced.
+
+    Documents are dealt to the shards of their source by a seeded hash and cut into blocks of
+    BLOCK_WORDS; a source has a shard for about SHARD_ROWS rows. A source takes at most `cap`
+    times its words, a document at most `cap` rounded up times its words. A null source
+    is a source of its own, a null text has no words and is never taken; a very long text is
+    blocks like any other, repeated rows are mixed one by one. Equal input gives equal
+    output, however it is partitioned. Sources (one row each) are ordered in one task.
+    """
+    found = mixed(df, weights, total, cap, id_col, source_col, size)
+    return found.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in ADDED], *ADDED)
 
 
-def take(df: DataFrame, text_col: str = "text", length_col: str = "n_chars", passes: int = 2, **options) -> DataFrame:
+def take(df: DataFrame, text_col: str = "text", length_col: str = "n_chars", weights: Sequence[int] = (5, 2, 1), total: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The mixed documents with the columns of df: a row for each pass that takes words of
-    the document, whose text is what the pass takes (the whole text, or its taken blocks
-    with the blanks behind each word); `length_col` follows the text."""
-    columns, mixed = df.columns, mix(df, **options)
-    words = f"regexp_extract_all({text_col}, {quoted(f'({WORD_PATTERN}{BLANK_PATTERN}*)')}, 1)"
-    mixed = mixed.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
-    mixed = mixed.where(F.exists("mix_runs", lambda r: r["times"] >= F.col("__pass")))
+    the document, as many as the mix makes, whose text is what the pass takes (the whole
+    text, or its taken runs with the blanks behind each word); `length_col` follows the text."""
+    found = mixed(df, weights, total, cap, id_col, source_col, word_count(text_col))
+    words = f"regexp_extract_all(text, {quoted(f'({WORD_PATTERN}{BLANK_PATTERN}*)')}, 1)"
+    passes = F.coalesce(F.array_max(F.transform("mix_runs", lambda r: r["times"])), F.lit(0))
+    found = found.where(passes > 0).withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), passes))).withColumn("text", F.col(f"row.`{text_col}`"))
     # the words are bound once for all runs of the text
-    part = f"""element_at(transform(array({words}), w -> array_join(flatten(transform(filter(mix_runs, r -> r.times >= __pass),
+    part = f"""element_at(transform(array({words}), w -> array_join(flatten(transform(filter(mix_runs, r -> r.times >= pass),
       r -> slice(w, CAST(r.start + 1 AS INT), CAST(r.stop - r.start AS INT)))), '')), 1)"""
-    text = F.when(F.forall("mix_runs", lambda r: r["times"] >= F.col("__pass")), F.col(text_col)).otherwise(F.expr(part))
-    mixed = mixed.withColumn(text_col, text)
-    if length_col in columns:
-        mixed = mixed.withColumn(length_col, F.length(text_col).cast(dict(df.dtypes)[length_col]))
-    return mixed.select(*columns)
+    text = F.when(F.forall("mix_runs", lambda r: r["times"] >= F.col("pass")), F.col("text")).otherwise(F.expr(part))
+    found = found.select("row", text.alias("text"))
+    changed = {text_col: F.col("text").cast(dict(df.dtypes)[text_col])}
+    if length_col in df.columns:
+        changed[length_col] = F.length("text").cast(dict(df.dtypes)[length_col])
+    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in df.columns])
