@@ -1,7 +1,7 @@
 """Sharding into contiguous key ranges of nearly equal bytes by histogram sort.
 
-The key is (hash of the text, hash of id and text), so equal texts lie side by side. Each
-round counts the exact bytes between candidate boundaries (probes) in all partitions at
+The key is (hash of the text, hash of id and text, row number), so equal texts lie side by
+side and no two rows have one key. Each round counts the exact bytes between candidate boundaries (probes) in all partitions at
 once, keeps for each splitter the gap that holds its target, and probes that gap more
 finely, until the gap is within the tolerance. Only then the rows are exchanged, once.
 """
@@ -10,15 +10,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 TOP = (1 << 63) - 1
-#: Probes for each gap and round; rows that a window of the final numbering holds, at most
-#: FINEST windows for a shard.
-PROBES, WINDOW_ROWS, FINEST = 256, 65536, 4096
+#: Probes for each gap and round; rows of a partition of the final order, about.
+PROBES, ORDER_ROWS = 256, 262144
+KEYS = ("k1", "k2", "k3")
 
 
 @dataclass
@@ -61,57 +61,76 @@ def _refine(keys: DataFrame, key: str, aims: list[int], start: Gap, tolerance: f
             gaps[at] = chosen
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
-    """shards - 1 boundaries (k1, k2): a row is behind a boundary if (k1, k2) >= it.
+def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int, int]]:
+    """shards - 1 boundaries (k1, k2, k3): a row is behind a boundary that is not above its key.
 
     A boundary between texts is taken where it is within `tolerance` of the shard's even
-    share, or as near as any row allows; else the copies of one text are split by k2.
+    share, or as near as any row allows; else the copies of one text are split by k2, and
+    the copies of one row (which are alike) by k3, at the copy nearest to the even share.
     """
     total = keys.agg(F.sum("size")).first()[0] or 0
     if not total:
-        return [(0, 0)] * (shards - 1)
+        return [(0, 0, 0)] * (shards - 1)
     aims = [total * i // shards for i in range(1, shards)]
     near = tolerance * total / shards
-    found: list[tuple[int, int]] = []
-    for aim, gap in zip(aims, _refine(keys, "k1", aims, Gap(0, TOP, 0, total), near), strict=True):
+
+    def cut(rows: DataFrame, level: int, aim: int, gap: Gap) -> tuple[float, tuple[int, ...]]:
+        """How far the boundary is from the aim, and the boundary from this key on."""
+        rest = (0,) * (len(KEYS) - level - 1)
         before, after = aim - gap.below, gap.below + gap.bytes - aim
-        best = min((before, gap.low), (after, gap.high + 1))
-        if best[0] > near and gap.single:
-            own = keys.where(F.col("k1") == gap.low)
-            inner = _refine(own, "k2", [aim - gap.below], Gap(0, TOP, 0, gap.bytes), near)[0]
-            inside = min((abs(before - inner.below), inner.low), (abs(inner.below + inner.bytes - before), inner.high + 1))
-            if inside[0] < best[0]:
-                found.append((gap.low, inside[1]))
-                continue
-        found.append((best[1], 0))
-    return sorted(found)
+        best = min((abs(before), (gap.low, *rest)), (abs(after), (gap.high + 1, *rest)))
+        if best[0] <= near or not gap.single or not rest:
+            return best
+        own = rows.where(F.col(KEYS[level]) == gap.low)
+        # copies of one row are told apart to the last one, so that every run cuts alike
+        fine = 0 if level + 2 == len(KEYS) else near
+        inner = _refine(own, KEYS[level + 1], [before], Gap(0, TOP, 0, gap.bytes), fine)[0]
+        away, inside = cut(own, level + 1, before, inner)
+        return min(best, (away, (gap.low, *inside)))
+
+    gaps = _refine(keys, "k1", aims, Gap(0, TOP, 0, total), near)
+    return sorted(cut(keys, 0, aim, gap)[1] for aim, gap in zip(aims, gaps, strict=True))
+
+
+def behind(cut: tuple[int, ...]) -> Column:
+    """1 for a row that is not before the boundary."""
+    found = F.lit(True)
+    for key, at in reversed(list(zip(KEYS, cut, strict=True))):
+        if at > TOP:
+            found = F.lit(False)
+        else:
+            found = (F.col(key) > at) | ((F.col(key) == at) & found)
+    return found.cast("int")
 
 
 def assign(df: DataFrame, shards: int = 16, tolerance: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, size long (UTF-8 bytes of the text, null none, plus 1), text_crc32 long,
-    shard int and slot long (gapless from 0 in each shard) of every row.
+    shard int and slot long (gapless from 0 in each shard, by the key) of every row.
 
     Shards are ranges of the key with nearly equal bytes: each boundary is within
     `tolerance` of a shard's share, or one row of it. Copies of a text stay together unless
-    a boundary could not come that near otherwise. Rows equal in id and text have one key
-    and stay together. Null ids and texts have a hash like any other; an empty table gives
-    no rows; other columns are not read.
+    a boundary could not come that near otherwise (a text whose copies fill more than a
+    shard has to be split); copies lie side by side in any case. Rows equal in id and text
+    are split like other copies. Null ids and texts have a hash like any other, a very
+    long text is one row; an empty table gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     half = lambda *cols: F.shiftrightunsigned(F.xxhash64(*cols), 1)
     keys = df.select(F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), half(text_col).alias("k1"), half(id_col, text_col).alias("k2"))
-    keys = materialize(keys, "shard-keys")
-    cuts = splitters(keys, shards, tolerance)
-    behind = [F.when((F.col("k1") > a) | ((F.col("k1") == a) & (F.col("k2") >= b)), 1).otherwise(0) if a <= TOP else F.lit(0) for a, b in cuts]
-    shard = behind[0] if behind else F.lit(0)
-    for x in behind[1:]:
-        shard = shard + x
-    rows = keys.count()
-    fine = min(FINEST, max(1, -(-rows // (shards * WINDOW_ROWS))))
-    dealt = keys.withColumn("shard", shard.cast("int")).withColumn("fine", F.pmod("k2", F.lit(fine)).cast("int"))
-    counts = dealt.groupBy("shard", "fine").agg(F.count("*").alias("n"))  # shards * fine rows at most
-    before = Window.partitionBy("shard").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "fine", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("shard", "fine").orderBy("k1", "k2", "id")
-    placed = dealt.withColumn("place", F.row_number().over(own)).join(F.broadcast(offsets), ["shard", "fine"])
-    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("offset") + F.col("place") - 1).cast("long").alias("slot"))
+    keys = materialize(keys.withColumn("k3", F.monotonically_increasing_id()), "shard-keys")
+    shard = F.lit(0)
+    for boundary in splitters(keys, shards, tolerance):
+        shard = shard + behind(boundary)
+    # one exchange by ranges of the whole key, which no two rows share
+    order = ["shard", *KEYS]
+    parts = max(1, -(-keys.count() // ORDER_ROWS), shards)
+    ranged = keys.withColumn("shard", shard.cast("int")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the number holds the partition in its upper bits and the place in it in the lower ones
+    ranged = materialize(ranged.select("id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("at")), "shard-order")
+    part = F.shiftright("at", 33)
+    counts = ranged.groupBy("shard", part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # at most a row for each partition and each shard
+    offsets = F.broadcast(counts.select("shard", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    placed = ranged.withColumn("part", part).join(offsets, ["shard", "part"])
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("offset") + F.col("at") - F.col("first")).cast("long").alias("slot"))
