@@ -100,16 +100,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     left out), joined to `docs`.
 
     At most `sample_rows` labelled documents take part, picked by a seeded hash of the id;
-    they are broadcast as ids only. Terms are the TERMS words whose presence separates the
-    labels best. A labelled document has grade 0 if clean, else 1 to GRADES by how many of
+    they are broadcast as ids only. Of rows that repeat an id the smallest text is fitted; a
+    null text has no terms, a very long one is read whole. Terms are the TERMS words whose
+    presence separates the labels best, ties to the smaller word. A labelled document has grade 0 if clean, else 1 to GRADES by how many of
     the separating words (in thirds of the toxic documents) it holds. No usable labels, or
     one class only: a model without terms.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
     clean = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     picked = clean.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     picked = picked.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "__id")
-    sample = materialize(joined, "toxic-sample")
+    sample = materialize(joined.groupBy("__id", "label").agg(F.min("text").alias("text")), "toxic-sample")
     n_all, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     empty = Model({}, tuple(float(50 + j) for j in range(GRADES)))
     if not n_toxic or n_toxic == n_all:
@@ -125,14 +127,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols, values, known = [], [], Terms(index)
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             found = sorted((index[t], n) for t, n in known.counts(text).items())
             cols.append([i for i, _ in found])
             values.append([n for _, n in found])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["label", "cols", "counts"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["id", "label", "cols", "counts"])
 
-    # a join of repeated ids could give more rows than were picked
-    rows = arrow_map(sample.orderBy("__id", "text").limit(sample_rows), ["label", "text"], "label int, cols array<int>, counts array<int>", features).collect()
+    # sample_rows rows at most; texts are read in parallel, only the counts come to the driver
+    rows = arrow_map(sample, ["__id", "label", "text"], f"id {kind}, label int, cols array<int>, counts array<int>", features).orderBy("id").collect()
     toxic = np.array([r.label for r in rows])
     hits = np.array([sum(n for i, n in zip(r.cols, r.counts, strict=True) if i in strong) for r in rows])
     grades = np.zeros(len(rows), int)
@@ -150,8 +152,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     number of cuts passed with probability 0.5 or more) and toxic boolean (P(grade > 0) of
     `toxic_from` or more).
 
-    A null text has no terms. Repeated rows are scored one by one; other columns are not
-    read. One scan without a shuffle; the model has at most TERMS weights.
+    A null text has no terms. Repeated rows are scored one by one, very long texts whole;
+    other columns are not read. One scan without a shuffle; the model has at most TERMS weights.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
