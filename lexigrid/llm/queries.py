@@ -85,28 +85,36 @@ levels AS (
     / CAST(sum(weight) OVER (ORDER BY cap / weight, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM weighed),
 aimed AS (SELECT *, least(cap, weight * coalesce(max(CASE WHEN level <= cap / weight THEN level END) OVER (), 'infinity'::DOUBLE)) AS target FROM levels),
 sharded AS (
-  SELECT *, CAST(least(4096, CASE WHEN ceil(n_rows / 256) <= 1 THEN 1 ELSE pow(2, length(bin(CAST(ceil(n_rows / 256) AS BIGINT) - 1))) END) AS BIGINT) AS shards,
+  SELECT *, CAST(CASE WHEN ceil(n_rows / 256) <= 1 THEN 1 ELSE pow(2, length(bin(CAST(ceil(n_rows / 256) AS BIGINT) - 1))) END AS BIGINT) AS shards,
     CAST(floor(sum(target) OVER () / 16 + 0.5) AS BIGINT) AS seats FROM aimed),
 source_tries AS (
   SELECT s, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, s, k) AS place
   FROM (SELECT s, seats, target, unnest(range(0, seats + 1)) AS k FROM sharded WHERE target > 0)),
 source_blocks AS (SELECT s, count(*) AS blocks FROM source_tries WHERE place <= seats GROUP BY s),
-placed AS (SELECT doc_id, h, size, d.source, a.s, words, target, h % 4096 % shards AS shard FROM hashed d JOIN sharded a ON d.source IS NOT DISTINCT FROM a.source),
-by_shard AS (SELECT s, shard, CAST(sum(size) AS BIGINT) AS n, any_value(blocks) AS blocks FROM placed LEFT JOIN source_blocks USING (s) GROUP BY s, shard),
+placed AS (SELECT doc_id, h, size, d.source, a.s, words, target, h % shards AS shard FROM hashed d JOIN sharded a ON d.source IS NOT DISTINCT FROM a.source),
+by_shard AS (
+  SELECT s, shard, CAST(sum(size) AS BIGINT) AS n, any_value(blocks) AS blocks, CAST(floor(any_value(target) + 0.5) AS BIGINT) AS due
+  FROM placed LEFT JOIN source_blocks USING (s) GROUP BY s, shard),
 shard_tries AS (
   SELECT s, shard, blocks, row_number() OVER (PARTITION BY s ORDER BY n / (2 * k + 1) DESC, shard, k) AS place
   FROM (SELECT s, shard, n, blocks, unnest(range(0, blocks + 1)) AS k FROM by_shard WHERE n > 0)),
-quotas AS (
-  SELECT s, shard, CAST(ceil(n / 16) AS BIGINT) AS m, least(coalesce(won, 0), 2 * CAST(ceil(n / 16) AS BIGINT)) AS quota, {_HASH.format("'mix-1:' || s || ':' || shard")} AS draw
+dealt AS (
+  SELECT s, shard, n, due, coalesce(blocks, 0) AS blocks, coalesce(won, 0) AS won, CAST(ceil(n / 16) AS BIGINT) AS m, {_HASH.format("'mix-1:' || s || ':' || shard")} AS draw
   FROM by_shard LEFT JOIN (SELECT s, shard, count(*) AS won FROM shard_tries WHERE place <= blocks GROUP BY s, shard) USING (s, shard) WHERE n > 0),
+quotas AS (
+  SELECT *, draw % m AS c, [1000000007, 1500000001, 1900000043, 2147483647][draw % 4 + 1] AS p, least(2 * n, greatest(0, 16 * won
+    + CASE WHEN row_number() OVER (PARTITION BY s ORDER BY won DESC, shard) = 1 THEN due - 16 * blocks ELSE 0 END)) AS quota FROM dealt),
 lined AS (
   SELECT *, CAST(sum(size) OVER (PARTITION BY s, shard ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS o FROM placed),
 drawn AS (
-  SELECT l.*, q.m, q.quota // q.m AS base, q.quota % q.m AS extra, q.draw % q.m AS c, [1000000007, 1500000001, 1900000043, 2147483647][q.draw % 4 + 1] AS p
-  FROM lined l LEFT JOIN quotas q USING (s, shard))
-SELECT doc_id, size, words AS source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(list_sum(list_transform(range(o // 16, (o + size - 1) // 16 + 1),
-  lambda j: (least((j + 1) * 16, o + size) - greatest(j * 16, o)) * (base + CASE WHEN (j * p + c) % m < extra THEN 1 ELSE 0 END))) AS BIGINT) END AS taken
-FROM drawn
+  SELECT l.*, q.m, q.c, q.p, q.quota // q.n AS base, q.quota % q.n AS extra, ((q.m - 1) * q.p + q.c) % q.m AS last, q.m * 16 - q.n AS lacks
+  FROM lined l LEFT JOIN quotas q USING (s, shard)),
+runs AS (
+  SELECT *, CASE WHEN size = 0 THEN [] ELSE list_transform(range(o // 16, (o + size - 1) // 16 + 1), lambda j: {{'low': greatest(j * 16, o), 'high': least((j + 1) * 16, o + size),
+    'upto': j * 16 + greatest(0, least(16, extra - 16 * ((j * p + c) % m) + CASE WHEN last < (j * p + c) % m THEN lacks ELSE 0 END))}}) END AS blocks FROM drawn)
+SELECT doc_id, size, words AS source_size, target, CASE WHEN size = 0 THEN 0 ELSE
+  CAST(size * base + list_sum(list_transform(blocks, lambda x: greatest(0, least(x.upto, x.high) - x.low))) AS BIGINT) END AS taken
+FROM runs
 """
 
 
@@ -123,7 +131,8 @@ def _op2() -> str:
     names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
     joined = f"array_to_string(list_transform({{}}, lambda m: {names}[m.kind + 1] || ':' || m.start || ':' || m.stop), ',')"
     full = "list_transform({}, lambda m: {{'start': m.start, 'kind': m.kind, 'stop': m.start + length(m.whole), 'whole': m.whole}})"
-    allow = " OR ".join("regexp_matches(m.whole, '" + p.replace("'", "''") + "')" for p in secrets.ALLOW)
+    allow = " OR ".join("regexp_matches(m.whole, '" + p.replace("'", "''").replace("++", "+") + "')" for p in secrets.ALLOW)
+    held = f"'[{secrets.PART}]*(?i:{secrets.PLACEHOLDERS})[{secrets.PART}]*'"
     bits = " ".join(f"WHEN regexp_matches(m.whole, '{p}') THEN {b}" for _, p, b in secrets.CLASSES[:-1])
     window = """list_max(list_transform(range(1, length(m.whole) - 18), lambda i: list_sum(list_transform(list_distinct(string_split(substr(m.whole, i, 20), '')),
       lambda ch: -(20 - length(replace(substr(m.whole, i, 20), ch, ''))) / 20 * log2((20 - length(replace(substr(m.whole, i, 20), ch, ''))) / 20)))))"""
@@ -131,15 +140,25 @@ def _op2() -> str:
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS (
-  SELECT doc_id, {full.format('list_filter(' + _located(0, secrets.ASSIGN) + ', lambda m: length(m.value) >= 6)')} AS a,
+  SELECT doc_id, t AS whole_text, {full.format('list_filter(' + _located(0, secrets.ASSIGN) + ', lambda m: length(m.value) >= 6)')} AS a,
     {full.format('list_filter(' + _located(1, secrets.ACCESS) + ', lambda m: length(m.whole) >= 20)')} AS b,
-    {full.format(_located(2, secrets.HEX))} AS h,
-    CASE WHEN regexp_matches(t, '[{secrets.TOKEN}]{{20,}}') THEN {full.format('list_filter(' + _located(3, token) + ", lambda m: length(m.whole) >= 20 AND regexp_matches(m.whole, '[0-9]'))")} ELSE [] END AS c
+    {full.format(_located(2, secrets.HEX))} AS h
   FROM texts),
-based AS (SELECT *, list_sort(list_transform(a || b || h, lambda m: {{'start': m.start, 'kind': m.kind, 'stop': m.stop}})) AS base FROM found),
+based AS (
+  SELECT *, list_sort(list_transform(a || b || h, lambda m: {{'start': m.start, 'kind': m.kind, 'stop': m.stop}})) AS base FROM found),
+lettered AS (SELECT *, CASE WHEN len(base) = 0 THEN [] ELSE regexp_extract_all(whole_text, '(?s).') END AS letters FROM based),
+masked AS (
+  SELECT *, CASE WHEN len(base) = 0 THEN whole_text ELSE array_to_string(list_transform(range(1, len(letters) + 1),
+    lambda i: CASE WHEN len(list_filter(base, lambda x: x.start < i AND i <= x.stop)) > 0 THEN ' ' ELSE letters[i] END), '') END AS free FROM lettered),
+parted AS (SELECT *, regexp_split_to_array(free, {held}) AS gaps, regexp_extract_all(free, {held}) AS helds FROM masked),
+blank AS (
+  SELECT *, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN i <= len(helds) THEN repeat(' ', length(helds[i])) ELSE '' END), '') AS t FROM parted),
+tried AS (
+  SELECT *, CASE WHEN regexp_matches(t, '[{secrets.TOKEN}]{{20,}}') THEN {full.format('list_filter(' + _located(3, token) + ", lambda m: length(m.whole) >= 20 AND regexp_matches(m.whole, '[0-9]'))")} ELSE [] END AS c
+  FROM blank),
 added AS (
-  SELECT *, list_transform(list_filter(c, lambda m: len(list_filter(base, lambda x: x.start < m.stop AND m.start < x.stop)) = 0 AND NOT ({allow})
-    AND {window} >= CASE {bits} ELSE {secrets.CLASSES[-1][2]} END), lambda m: {{'start': m.start, 'kind': m.kind, 'stop': m.stop}}) AS more FROM based)
+  SELECT *, list_transform(list_filter(c, lambda m: NOT ({allow})
+    AND {window} >= CASE {bits} ELSE {secrets.CLASSES[-1][2]} END), lambda m: {{'start': m.start, 'kind': m.kind, 'stop': m.stop}}) AS more FROM tried)
 SELECT doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(b) AS BIGINT) AS n_access, CAST(len(h) AS BIGINT) AS n_hex,
   sha256({joined.format('base')}) AS base_sha256, {joined.format('list_sort(base || more)')} AS spans FROM added
 """
@@ -166,15 +185,15 @@ FROM ruled
 """
 
 OP10 = """
-WITH ints AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH ints AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+  SELECT q.r AS query, q.vec_id AS query_id, c.r, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND c.r <> q.r AND len(q.v) = len(c.v)),
 ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST, r) AS INTEGER) AS rank, vec_id, score FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 

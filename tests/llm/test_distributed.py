@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lexigrid.llm import mixing, neardup, sharding, simhash, topk
 
@@ -88,6 +89,39 @@ def test_mix_odd_rows(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("total", "cap"), [(3.0, 3.0), (2.5, 2.5), (0.3, 2.0), (5.0, 4.0)])
+def test_any_cap(spark, total, cap):
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(i, prose(rnd, rnd.randint(1, 90)), "en", f"s{i % 3}", 0) for i in range(300)], SCHEMA)
+    words = sum(len(WORD.findall(r.text)) for r in df.collect())
+    mixed = mixing.mix(df, total=total, cap=cap).collect()
+    assert all(r.mix_taken <= math.ceil(cap) * r.mix_size for r in mixed)
+    assert abs(sum(r.mix_taken for r in mixed) - min(total, cap) * words) <= 48
+    taken = Counter()
+    for r in mixing.take(df, total=total, cap=cap).collect():
+        taken[r.doc_id] += len(WORD.findall(r.text))
+    assert taken == Counter({r.doc_id: r.mix_taken for r in mixed if r.mix_taken})
+
+
+def test_small_sources_get_their_share(spark):
+    df = spark.createDataFrame([(i, " ".join("w" * (i % 60 + 1)), "en", f"{i:04}", 0) for i in range(600)], SCHEMA)
+    for r in mixing.mix(df).collect():
+        assert abs(r.mix_taken - r.mix_target) <= 0.5
+
+
+def test_rows_alike_but_for_the_text(spark):
+    rnd = random.Random(10)
+    data = [(i // 8, prose(rnd, 40), "en", "s", 0) for i in range(400)] + [(7, "the same row", "en", "s", 0)] * 50
+    runs = []
+    for turn in range(3):
+        rnd.shuffle(data)
+        out = mixing.take(spark.createDataFrame(data, SCHEMA).repartition(turn + 2).withColumn("mix_runs", F.lit("clash")))
+        assert out.columns[-1] == "mix_runs"
+        runs.append(sorted(map(tuple, out.collect())))
+    assert runs[0] == runs[1] == runs[2]
+    assert mixing.mix(spark.createDataFrame(data, SCHEMA).withColumn("mix_size", F.lit("clash"))).columns.count("mix_size") == 1
+
+
 def test_taken_texts(spark):
     data = big_corpus(random.Random(8), 60)
     df = spark.createDataFrame(data, SCHEMA)
@@ -140,6 +174,31 @@ def test_sharding_splits_a_hot_text(spark):
     assert max(sizes) <= 1.1 * sum(sizes) / 8
 
 
+def test_sharding_splits_a_hot_row(spark):
+    data = [(1, "same text " * 45, "en", "s", 0)] * 1000 + [(i, f"other text {i} " * 35, "en", "s", 0) for i in range(1000)]
+    df, runs = spark.createDataFrame(data, SCHEMA), []
+    for parts in (2, 7):
+        got = sharding.assign(df.repartition(parts), 16).collect()
+        sizes = check_shards(data, got, 16)
+        assert max(sizes) - min(sizes) <= 0.03 * sum(sizes) / 16 + max(r.size for r in got)
+        runs.append(sorted(map(tuple, got)))
+    assert runs[0] == runs[1]
+
+
+def test_slots_follow_the_key_at_any_size(spark, monkeypatch):
+    rnd = random.Random(4)
+    data = [(i, prose(rnd, 6), "en", "s", 0) for i in range(500)] + [(1000 + i, f"copy {i % 5}", "en", "s", 0) for i in range(500)]
+    df = spark.createDataFrame(data, SCHEMA)
+    want = sorted(map(tuple, sharding.assign(df, 4).collect()))
+    monkeypatch.setattr(sharding, "ORDER_ROWS", 10)
+    assert sorted(map(tuple, sharding.assign(df, 4).collect())) == want
+    by = defaultdict(list)
+    for _, _, crc, shard, slot in want:
+        by[shard].append((slot, crc))
+    changes = sum(a[1] != b[1] for v in by.values() for a, b in zip(sorted(v), sorted(v)[1:], strict=False))
+    assert changes + 4 <= len({crc for _, _, crc, _, _ in want}) + 3
+
+
 def test_sharding_odd_rows(spark):
     df = frame(spark)
     check_shards(odd_documents(), sharding.assign(df, 4).collect(), 4)
@@ -377,42 +436,62 @@ def test_keep_one_where_ids_do_not_name_texts(spark):
 
 
 def plain_top(vectors, k=5):
-    ints = {(i, tuple(math.floor(256 * float(x)) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = []
-    for q, a in sorted(ints):
-        if q % 50 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ints if i != q and len(a) == len(b))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
-    return out
+    ints = [(i, [math.floor(256.0 * float(x)) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(256.0 * x) for x in v)]
+    out, most = [], (1 << 63) - 1
+    for row, (q, a) in enumerate(ints):
+        if q is not None and q % 50 == 0:
+            scores = [(max(-most - 1, min(most, sum(x * y for x, y in zip(a, b, strict=True)))), i) for n, (i, b) in enumerate(ints) if n != row and len(a) == len(b)]
+            scores.sort(key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+            out += [(q, r + 1, i, s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out, key=str)
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "GROUP_ROWS", 60)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
-    rnd = random.Random(5)
+def odd_vectors(rnd):
     f32 = lambda x: float(np.float32(x))
     vectors = [(i, [f32(rnd.gauss(0, 0.2)) for _ in range(8)]) for i in range(400)]
     vectors += [(1000 + i, [0.5] * 8) for i in range(100)]  # ties
-    vectors += [(2000, None), (2050, [None] * 8), (2100, [float("nan")] * 8), (2150, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (3000, [1.0, -1.0]), (3001, [0.5, 0.25]), (3050, []), (3051, []), vectors[50], vectors[51]]
+    vectors += [(2000, None), (2050, [None] * 8), (2100, [float("nan")] * 8), (2150, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (None, [1.0] * 8), (3000, [1.0, -1.0]), (3001, [0.5, 0.25]), (3050, []), (3051, [])]
+    big = [f32(1e30), f32(-1e30), f32(3e38), 1.0, 2.0, 0.25]
+    vectors += [(4000 + 10 * i, [rnd.choice(big), rnd.choice(big), rnd.choice(big)]) for i in range(40)]
+    return vectors + [vectors[50], vectors[51], vectors[50], (50, [0.1] * 8)]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_top_k(spark, monkeypatch, small):
+    if small:
+        for name, value in (("GROUP_ROWS", 40), ("QUERY_ROWS", 3), ("BOUND_ROWS", 2), ("PIVOTS", 5), ("BLOCK_ROWS", 16)):
+            monkeypatch.setattr(topk, name, value)
+    vectors = odd_vectors(random.Random(5))
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors], "vec_id long, embedding array<float>, label int, rank string")
-    assert rows(topk.top_k(df, "vec_id % 50 = 0")) == plain_top(vectors)
+    assert sorted(map(tuple, topk.top_k(df, "vec_id % 50 = 0").collect()), key=str) == plain_top(vectors)
     assert topk.top_k(df.where("false"), "vec_id % 50 = 0").count() == 0
 
 
-def test_pruning_skips_blocks():
+def test_queries_skip_ranges_and_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centers = rng.normal(0, 400, (32, 16))
-    data = np.concatenate([rng.normal(c, 4, (256, 16)) for c in centers]).astype(np.int64)
-    ids = np.arange(len(data))
-    best, scored = topk.search(ids, data, ids[::64], data[::64], 5)
-    scores = data[::64] @ data.T
-    for i, q in enumerate(ids[::64]):
-        want = sorted(((-int(s), int(j)) for j, s in enumerate(scores[i]) if j != q))[:5]
-        assert best[i] == [(-s, j) for s, j in want]
+    data = np.concatenate([rng.normal(c, 4, (256, 16)) for c in centers]).round()
+    numbers = np.arange(len(data))
+    best, scored = topk.search(numbers.tolist(), numbers, data, numbers[::64], data[::64], 5)
+    scores = (data[::64] @ data.T).astype(np.int64)
+    for i, q in enumerate(numbers[::64]):
+        want = sorted((-int(s), int(j)) for j, s in enumerate(scores[i]) if j != q)[:5]
+        assert best[i] == [(-s, j, j) for s, j in want]
     assert scored < 0.5 * len(best) * len(data) / topk.BLOCK_ROWS
+    floor = np.array([b[-1][0] for b in best], float)
+    again, fewer = topk.search(numbers.tolist(), numbers, data, numbers[::64], data[::64], 5, floor)
+    assert again == best and fewer <= scored
+
+    written = {}
+    keep = topk.materialize
+    monkeypatch.setattr(topk, "GROUP_ROWS", 256)
+    monkeypatch.setattr(topk, "materialize", lambda df, label: written.setdefault(label, keep(df, label)))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    assert topk.top_k(df, "vec_id % 50 = 0", scale=1).count() == 5 * 164
+    assert written["sent"].count() < 0.5 * 164 * written["extremes"].count()
 
 
 def test_large_components_stay_exact():
     data = np.array([[1 << 30, 3], [(1 << 30) - 1, 3], [5, 7]], np.int64)
-    best, _ = topk.search(np.arange(3), data, np.array([9]), data[:1], 3)
-    assert best[0] == [((1 << 60) + 9, 0), ((1 << 60) - (1 << 30) + 9, 1), (5 * (1 << 30) + 21, 2)]
+    best, _ = topk.search([0, 1, 2], np.arange(3), data.astype(float), np.array([9]), data[:1].astype(float), 3)
+    assert best[0] == [((1 << 60) + 9, 0, 0), ((1 << 60) - (1 << 30) + 9, 1, 1), (5 * (1 << 30) + 21, 2, 2)]

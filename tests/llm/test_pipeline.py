@@ -67,3 +67,18 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).dtypes == df.dtypes
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_repeated_ids_of_unlike_texts(spark, tmp_path):
+    rnd = random.Random(22)
+    texts = [prose(rnd, 200) for _ in range(12)]
+    data = [(i % 4, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(9, texts[0], "en", "s", 1), (2, texts[1] + " more", "en", "s", 1), (None, texts[2], "en", "s", 1)]
+    spark.createDataFrame(data, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    coder = bpe.encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    taken = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        text = coder.decode(r.ids).decode()
+        home = [t for t in texts if set(WORD.findall(text)) <= set(WORD.findall(t + " more"))]
+        assert home
+        taken[home[0]] = taken.get(home[0], 0) + len(WORD.findall(text))
+    assert len(taken) >= 10 and abs(sum(taken.values()) - 1.5 * 12 * 200) <= 100 and max(taken.values()) <= 402
