@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as the \s of the regex dialects differs on VT and on non-ASCII blanks.
 BLANK = r"[ \t\n\x0B\f\r]"
-#: A query word that is looked up under further words as well.
+#: A query word that is looked up under further words as well.
 SYNONYMS = {"скд": ("система", "компоновки", "данных", "компоновка", "data", "composition")}
 
 
@@ -61,15 +65,36 @@ def searchable_text(value: Column | str) -> Column:
 
 
 def tokens(value: Column | str) -> Column:
-    return F.filter(F.split(searchable_text(value), " +"), lambda w: F.length(w) > 0)
+    """The words of searchable_text: what is no letter or digit separates, and blanks do, so
+    the rules run once over the whole value."""
+    return F.filter(F.split(searchable_name(value), " +"), lambda w: F.length(w) > 0)
+
+
+@lru_cache(maxsize=1)
+def _case_borders() -> re.Pattern:
+    """A border between a lower-case and an upper-case letter of any script."""
+    kinds = {"Ll": [], "Lu": []}
+    for point in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(point))
+        if kind in kinds:
+            last = kinds[kind][-1] if kinds[kind] else None
+            if last and last[1] == point - 1:
+                last[1] = point
+            else:
+                kinds[kind].append([point, point])
+    low, high = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in kinds[k]) for k in ("Ll", "Lu"))
+    return re.compile(f"(?<=[{low}])(?=[{high}])")
+
+
+def searchable_words(text: str) -> list[str]:
+    """The words of a query, by the rules of `tokens`."""
+    split = _case_borders().sub(" ", text)
+    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in split).lower().split()
 
 
 def query_terms(text: str) -> list[str]:
     """Prefix terms of a keyword query, sorted, with synonyms."""
-    import re
-
-    split = re.sub(r"(?<=[a-zа-яё])(?=[A-ZА-ЯЁ])", " ", text)
-    found = {w for w in re.sub(r"[\W_]", " ", split).lower().split()}
+    found = set(searchable_words(text))
     for word in [w for w in found if w in SYNONYMS]:
         found |= set(SYNONYMS[word])
     return sorted(found)
@@ -115,13 +140,6 @@ def relation_tier(query: str, name: Column, alias: Column, owner_member: Column,
     return F.struct(tier.alias("tier"), F.when(tier <= 1, priority).otherwise(0).cast("int").alias("tie"))
 
 
-def searchable_words(text: str) -> list[str]:
-    import re
-
-    split = re.sub(r"(?<=[a-zа-яё])(?=[A-ZА-ЯЁ])", " ", text)
-    return re.sub(r"[\W_]", " ", split).lower().split()
-
-
 def name_keys(name: Column, alias: Column, owner: Column, owner_alias: Column | None = None, module: Column | None = None, query: Sequence[tuple[str, Column]] = ()) -> Column:
     """array of (key, key_kind), without repeats, that a document is found under: its
     primary name, alias, up to three owner.member pairs and the given query keys."""

@@ -13,6 +13,10 @@ from .tree import flatten
 FORMATS = {("raw", "raw"), ("markdown", "toc")}
 
 
+class UnsafePath(ValueError):
+    """A path that cannot be a file below the folder of an export."""
+
+
 def check_format(kind: str, layout: str) -> None:
     if (kind, layout) not in FORMATS:
         raise ValueError(f"{kind} cannot be exported as {layout}")
@@ -54,8 +58,13 @@ def title_files(nodes: DataFrame, title: str = "title") -> DataFrame:
 
 
 def write_files(df: DataFrame, folder: str, path: str = "file", content: str = "markdown") -> None:
-    """One file for each row, written by the executors to a folder that all of them mount."""
-    rows = df.select(path, content)
+    """One file for each row, written by the executors to a folder that all of them mount.
+    Nothing is written if `plan_files` finds a problem with any path."""
+    planned = plan_files(df.select(path, content), path)
+    bad = planned.where("problem IS NOT NULL").select(path, "problem").orderBy(path).limit(5).collect()
+    if bad:
+        raise UnsafePath("; ".join(f"{r.problem}: {r[0]}" for r in bad))
+    rows = planned.select(path, content)
     base = folder.rstrip("/")
     if not base.startswith("file:") and "://" in base:
         raise ValueError("single files are written to a mounted folder; other stores take write_site")
@@ -73,6 +82,18 @@ def write_files(df: DataFrame, folder: str, path: str = "file", content: str = "
     rows.foreachPartition(put)
 
 
+def export_raw(pages: DataFrame, folder: str) -> DataFrame:
+    """Every stored page under its own path; returns path, bytes and sha256 of the files.
+    pages: html_path, html."""
+    write_files(pages, folder, "html_path", "html")
+    return artifacts(pages, "html_path", "html")
+
+
+def artifacts(files: DataFrame, path: str = "file", content: str = "markdown") -> DataFrame:
+    """path, bytes and sha256 of the content of each file."""
+    return files.select(F.col(path).alias("path"), F.octet_length(content).cast("long").alias("bytes"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
+
+
 def export_markdown(nodes: DataFrame, pages: DataFrame, folder: str) -> DataFrame:
     """One index.md for each node of the table of contents; a node without a page is a
     heading. nodes: id, parent_id, ordinal, title, html_path; pages: html_path, html."""

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import GRAPH_ROOT_KINDS
 from ..session import materialize
 
 #: Weight of each edge kind; smaller ones are visited first.
@@ -99,6 +100,14 @@ def typed_edges(edges: DataFrame, references: DataFrame, documents: DataFrame, k
     return direct.unionByName(other.select("source_id", "target_id", "label", F.col("weight").alias("ordinal")))
 
 
+def graph_root_problem(documents: DataFrame, root: str) -> str | None:
+    """Why a document cannot be the root of a type graph, None if it can."""
+    found = documents.where(F.col("id") == root).select("kind").first()
+    if found is None:
+        return "ROOT_NOT_FOUND"
+    return None if found.kind in GRAPH_ROOT_KINDS else "ROOT_IS_NO_TYPE"
+
+
 def type_graph(edges: DataFrame, references: DataFrame, root: str, limit: int = 200, max_depth: int = 2) -> DataFrame:
     """node, depth and the type references of the root and its first limit - 1 hits."""
     roots = edges.sparkSession.createDataFrame([(root,)], "node string")
@@ -108,14 +117,26 @@ def type_graph(edges: DataFrame, references: DataFrame, root: str, limit: int =
     return nodes.join(refs, "node", "left")
 
 
-def ancestors(parents: DataFrame, nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(node, ancestor, distance) up the owner links (id, parent_id) of the given nodes."""
-    up = parents.where("parent_id IS NOT NULL").select(F.col("id").alias("at"), F.col("parent_id").alias("next"))
-    level = materialize(nodes.select("node").distinct().join(up, F.col("node") == F.col("at")).select("node", F.col("next").alias("ancestor"), F.lit(1).alias("distance")), "ancestors")
-    found = level
-    for distance in range(2, max_depth + 1):
-        level = materialize(level.join(up, level["ancestor"] == up["at"]).select("node", F.col("next").alias("ancestor"), F.lit(distance).alias("distance")), "ancestors")
-        if level.isEmpty():
-            break
+def ancestors(parents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) up the owner links (id, parent_id) of the given nodes, to
+    any depth. A node meets an ancestor once and never itself, so that cycles end; they
+    are told by `owner_cycles`."""
+    return _up(parents, nodes).where("node <> ancestor")
+
+
+def owner_cycles(parents: DataFrame) -> DataFrame:
+    """(code, id) of the nodes that are their own ancestors."""
+    found = _up(parents, parents.where("parent_id IS NOT NULL").select(F.col("id").alias("node")))
+    return found.where("node = ancestor").select(F.lit("OWNER_CYCLE").alias("code"), F.col("node").alias("id"))
+
+
+def _up(parents: DataFrame, nodes: DataFrame) -> DataFrame:
+    up = materialize(parents.where("parent_id IS NOT NULL").select(F.col("id").alias("at"), F.col("parent_id").alias("next")), "owners")
+    level = materialize(nodes.select("node").distinct().join(up, F.col("node") == F.col("at")).select("node", F.col("next").alias("ancestor"), F.lit(1).alias("distance")).dropDuplicates(["node", "ancestor"]), "ancestors")
+    found, distance = level, 1
+    while not level.isEmpty():
+        distance += 1
+        step = level.join(up, level["ancestor"] == up["at"]).select("node", F.col("next").alias("ancestor"), F.lit(distance).alias("distance")).dropDuplicates(["node", "ancestor"])
+        level = materialize(step.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti"), "ancestors")
         found = found.unionByName(level)
     return found

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import manager_root, template_variant
+from .ordering import number_within
 
 
 def keep_last(df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -57,13 +58,13 @@ def classify_templates(templates: DataFrame, managers: DataFrame, references: Da
 
     managers: name of manager types; the longest family that begins the base wins. Without
     one, references (type_id, family), the direct evidence, decide if they name exactly one
-    family; several are AMBIGUOUS_TEMPLATE, none is UNCLASSIFIED_TEMPLATE. Families are few;
-    a base is compared with those of its first letter only.
+    family; several are AMBIGUOUS_TEMPLATE, none is UNCLASSIFIED_TEMPLATE. A base meets the
+    roots by equality of its beginnings that are as long as some root.
     """
     roots = managers.select(manager_root("name").alias("root")).where("root IS NOT NULL").distinct()
-    roots = roots.withColumn("initial", F.substring("root", 1, 1))
-    bases = templates.withColumn("initial", F.substring("base", 1, 1))
-    prefixed = bases.join(roots, (bases["initial"] == roots["initial"]) & F.startswith(F.col("base"), F.col("root")))
+    sizes = sorted(r[0] for r in roots.select(F.length("root")).distinct().collect())  # at most the longest name
+    bases = templates.select("type_id", "base", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("n"))
+    prefixed = bases.where("n <= length(base)").select("type_id", F.expr("substring(base, 1, n)").alias("root")).join(roots, "root")
     longest = prefixed.groupBy("type_id").agg(F.max_by("root", F.struct(F.length("root"), "root")).alias("by_root"))
     evidence = references.groupBy("type_id").agg(F.count_distinct("family").alias("n"), F.min("family").alias("by_reference"))
     found = templates.join(longest, "type_id", "left").join(evidence, "type_id", "left")
@@ -94,7 +95,7 @@ def unique_segments(df: DataFrame, parent: str, base: str, order: str, out: str
     that collide with a numbered spelling (`x-2` beside a repeated `x`) need the sequential
     rule; their parents alone go to a grouped function.
     """
-    numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(parent, base).orderBy(order)))
+    numbered = number_within(df, [parent, base], [order], "__n").withColumn("__n", F.col("__n") + 1)
     plain = F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("__n").cast("string")))
     numbered = numbered.withColumn(out, plain)
     clash = numbered.groupBy(parent, out).agg(F.count("*").alias("__c")).where("__c > 1").select(F.col(parent).alias("__p")).distinct()

@@ -119,7 +119,8 @@ def hydrate(hits: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     item = F.struct("signature_ordinal", "parameter_ordinal", "ordinal", "target_type_name", "ref_kind", "target_type_id", "status", "candidates")
     refs = refs.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("type_refs"))
     calls = tables["callables"].join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_semi").select("callable_id", F.col("document_id").alias("id"))
-    params = tables["parameters"].groupBy("signature_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "required", "description"))).alias("parameters"))
-    sigs = tables["signatures"].join(calls, "callable_id").join(params, "signature_id", "left")
+    sigs = tables["signatures"].join(calls, "callable_id")
+    params = tables["parameters"].join(sigs.select("signature_id"), "signature_id", "left_semi").groupBy("signature_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "required", "description"))).alias("parameters"))
+    sigs = sigs.join(params, "signature_id", "left")
     sigs = sigs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "title", "description", "parameters"))).alias("signatures"))
     return hits.join(sigs, "id", "left").join(refs, "id", "left")

@@ -2,59 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fuzzy_distance, fuzzy_threshold, normalize_key, query_terms, relation_tier, searchable_name, tokens
+from ..session import materialize
 
 K1, B = 1.2, 0.75
 
 
 def postings(documents: DataFrame, text: Column | str, id_col: str = "id") -> DataFrame:
-    """(token, id, tf) of every document, the index form for repeated searches."""
-    words = documents.select(F.col(id_col).alias("id"), F.explode(tokens(text)).alias("token"))
-    return words.groupBy("token", "id").agg(F.count("*").alias("tf"))
-
-
-def bm25(documents: DataFrame, text: Column | str, query: str, id_col: str = "id") -> DataFrame:
-    """(id, length, score) of the documents that hold a word beginning with one of the
-    query's words; lower scores are better.
+    """(token, id, tf, length) of every document, the stored form for repeated searches:
+    in ranges of (token, id), so that a search reads the row groups of its words only, and
+    a frequent word lies in many of them."""
+    words = documents.select(F.col(id_col).alias("id"), tokens(text).alias("t"))
+    each = words.select("id", F.size("t").alias("length"), F.explode("t").alias("token"))
+    counted = each.groupBy("token", "id").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
+    return counted.repartitionByRange("token", "id").sortWithinPartitions("token", "id")
+
+
+def lengths(documents: DataFrame, text: Column | str, id_col: str = "id") -> DataFrame:
+    return documents.select(F.col(id_col).alias("id"), F.size(tokens(text)).alias("length"))
+
+
+def counted(documents: DataFrame, text: Column | str, terms: Sequence[str], id_col: str = "id") -> DataFrame:
+    """(id, length, tf0, tf1 ...) by one pass over the texts, each tokenized once."""
+    begun = lambda w, term: F.size(F.filter(w, lambda x: F.startswith(x, F.lit(term))))
+    one = lambda w: F.struct(F.size(w).alias("length"), *[begun(w, t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    bound = F.element_at(F.transform(F.array(tokens(text)), one), 1)
+    return materialize(documents.select(F.col(id_col).alias("id"), bound.alias("c")).select("id", "c.*"), "term-counts")
+
+
+def counted_from(index: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(id, length, tf0, tf1 ...) of the documents that hold a term, from stored postings;
+    the beginnings of tokens are pushed to the scan."""
+    begins = [F.startswith(F.col("token"), F.lit(t)) for t in terms]
+    held = index.where(reduce(or_, begins))
+    return held.groupBy("id").agg(F.first("length").alias("length"), *[F.sum(F.when(b, F.col("tf")).otherwise(0)).cast("int").alias(f"tf{i}") for i, b in enumerate(begins)])
+
+
+def bm25(found: DataFrame, n: int, mean: float, n_terms: int) -> DataFrame:
+    """(id, length, score) of the documents (id, length, tf0 ...) that hold a term, of `n`
+    documents of `mean` length in all; lower scores are better."""
+    held = found.where(" OR ".join(f"tf{i} > 0" for i in range(n_terms)))
+    df_ = held.agg(*[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(n_terms)]).first()
+    total = F.lit(0.0)
+    for i in range(n_terms):
+        df, tf = F.lit(df_[f"df{i}"] or 0), F.col(f"tf{i}")
+        idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        total = total + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / (mean or 1.0)))
+    return held.select("id", "length", (-total).alias("score"))
+
+
+def keywords(
+    documents: DataFrame,
+    text: Column | str | None,
+    query: str,
+    limit: int = 20,
+    id_col: str = "id",
+    name: str = "name_primary",
+    alias: str = "name_alias",
+    owner: str = "owner_primary",
+    owner_alias: str = "owner_alias",
+    priority: str = "kind_priority",
+    index: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Keyword hits with score, tier and rank: the best max(10 * limit, 50) by (score,
+    priority, id), reranked by how the query relates to the names, then cut to `limit`.
 
-    One pass over the texts: each document counts its own words, and only the number of
-    documents, their mean length and each term's document count are aggregated.
+    The words come from the column `text`, or from `index`, the stored (postings, lengths).
+    An owner is compared in the form it is shown in, `primary (alias)`. The score is in millionths, cut to an
+    integer.
     """
     terms = query_terms(query)
-    words = F.col("__tokens")
-    counted = documents.withColumn("__tokens", tokens(text)).select(
-        F.col(id_col).alias("id"),
-        F.size("__tokens").alias("length"),
-        *[_prefix_count(words, t).alias(f"tf{i}") for i, t in enumerate(terms)],
-    )
     if not terms:
-        return counted.withColumn("score", F.lit(0.0)).where("false")
-    # one row of corpus statistics
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]).first()
-    scored = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))))
-    n, mean, total = F.lit(stats["n"]), F.lit(stats["mean"] or 1.0), F.lit(0.0)
-    for i in range(len(terms)):
-        df, tf = F.lit(stats[f"df{i}"] or 0), F.col(f"tf{i}")
-        idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-        total = total + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / mean))
-    return scored.select("id", "length", (-total).alias("score"))
-
-
-def _prefix_count(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: F.startswith(w, F.lit(term))))
-
-
-def keywords(documents: DataFrame, text: Column | str, query: str, limit: int = 20, id_col: str = "id", name: str = "name_primary", alias: str = "name_alias", owner: str = "owner_primary", priority: str = "kind_priority") -> DataFrame:
-    """Keyword hits with score, tier and rank: the best max(10 * limit, 50) by (score,
-    priority, id), reranked by how the query relates to the names, then cut to `limit`."""
-    scored = bm25(documents, text, query, id_col).join(documents.select(F.col(id_col).alias("id"), name, alias, owner, priority), "id")
-    window = scored.orderBy("score", priority, "id").limit(max(10 * limit, 50))
-    member = F.when(F.col(owner).isNotNull(), searchable_name(F.concat_ws(".", owner, name)))
-    ranked = window.withColumn("__tier", relation_tier(query, searchable_name(name), searchable_name(alias), member, F.col(priority)))
-    return ranked.orderBy("__tier", "score", "id").limit(limit).select("id", F.round("score", 6).alias("score"), F.col("__tier.tier").alias("tier"))
+        scored = documents.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
+    else:
+        found = counted(documents, text, terms, id_col) if index is None else materialize(counted_from(index[0], terms), "term-counts")
+        n, mean = (found if index is None else index[1]).agg(F.count("*"), F.avg("length")).first()
+        scored = bm25(found, n, mean, len(terms))
+    shown = F.col(owner)
+    if owner_alias in documents.columns:
+        shown = F.when(F.trim(F.col(owner_alias)) != "", F.concat(owner, F.lit(" ("), owner_alias, F.lit(")"))).otherwise(shown)
+    member = F.when(F.col(owner).isNotNull(), searchable_name(F.concat_ws(".", shown, F.col(name))))
+    tier = relation_tier(query, searchable_name(name), searchable_name(alias), member, F.col(priority))
+    scored = scored.select("id", (F.col("score") * 1_000_000).cast("long").alias("score")).join(documents.select(F.col(id_col).alias("id"), F.col(priority).alias("__priority"), tier.alias("__tier")), "id")
+    window = scored.orderBy("score", "__priority", "id").limit(max(10 * limit, 50))
+    ranked = window.orderBy("__tier", "score", "id").limit(limit)
+    return ranked.select("id", "score", F.col("__tier.tier").alias("tier"))
 
 
 def fuzzy(names: DataFrame, documents: DataFrame, query: str, limit: int = 20) -> DataFrame:

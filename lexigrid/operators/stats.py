@@ -8,22 +8,26 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .ordering import median_within
+
 NOISY = 0.05
 
 
 def median_mad(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """samples, median, mad, noise (mad / median, null at a zero median) and noisy by group.
 
-    Two aggregates: the medians, then the medians of the distances to them; the group table
-    joins back by its keys, nulls included.
+    The medians, then the medians of the distances to them, both exact and picked by place;
+    the group table joins back by its keys, nulls included.
     """
-    renamed = [F.col(g).alias(f"__{g}") for g in group]
-    medians = df.groupBy(*renamed).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("samples"))
+    keys = list(group)
+    medians = materialize(median_within(df, keys, value), "medians").withColumnsRenamed({g: f"__{g}" for g in keys})
     condition = F.lit(True)
     for g in group:
         condition = condition & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    joined = df.join(medians, condition).select(*group, F.col(value).alias("__v"), "median", "samples")
-    found = joined.groupBy(*group).agg(F.first("samples").alias("samples"), F.first("median").alias("median"), F.percentile(F.abs(F.col("__v") - F.col("median")), F.lit(0.5)).alias("mad"))
+    joined = df.join(medians, condition).select(*keys, F.abs(F.col(value) - F.col("median")).alias("__away"))
+    mads = median_within(joined, keys, "__away").withColumnRenamed("median", "mad").drop("samples")
+    found = mads.join(medians, condition).select(*keys, "samples", "median", "mad")
     found = found.withColumn("noise", F.when(F.col("median") != 0, F.col("mad") / F.col("median")))
     return found.withColumn("noisy", F.coalesce(F.col("noise") > NOISY, F.lit(False)))
 
@@ -33,6 +37,12 @@ def noise_state(median: Column, mad: Column) -> Column:
     return F.when(median == 0, "zero-baseline").when(mad / median > NOISY, "noisy").otherwise("stable")
 
 
+def runtime_max(metrics: DataFrame, name: str, metric: str = "metric", stance: str = "stance") -> DataFrame:
+    """metrics and a row `name` with the highest median of all stances, noisy if one is."""
+    worst = metrics.agg(F.max("median").alias("median"), F.max("noisy").alias("noisy"))
+    return metrics.select(metric, "median", "noisy").unionByName(worst.select(F.lit(name).alias(metric), "median", "noisy"))
+
+
 def relative_to(df: DataFrame, keys: Sequence[str], variant: str, baseline: str, value: str) -> DataFrame:
     """df with baseline_value, ratio and percent against the row of the baseline variant
     that shares the keys; null where that is missing or zero."""

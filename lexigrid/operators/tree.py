@@ -2,33 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import title_key
 from ..session import materialize
+from .ordering import last_within, number_within
 
 
-def flatten(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten(nodes: DataFrame) -> DataFrame:
     """nodes (id, parent_id, ordinal, ...) with depth, index_path (ordinals from the root)
-    and ancestors (ids from the root). Sorting by index_path gives the pre-order.
+    and ancestors (ids from the root), for all that the roots reach at any depth; see
+    `tree_problems` for the others. Sorting by index_path gives the pre-order.
 
     One join on the parent for each level; the level is written before the next one starts.
     """
+    nodes = materialize(nodes, "nodes")
     base = nodes.select("id", "parent_id", F.col("ordinal").cast("int").alias("ordinal"))
     level = base.where("parent_id IS NULL").select("id", F.lit(0).alias("depth"), F.array("ordinal").alias("index_path"), F.array().cast("array<string>").alias("ancestors"))
     level = materialize(level, "tree")
-    found = level
+    found, depth, most = level, 0, nodes.count()
     children = base.where("parent_id IS NOT NULL").withColumnRenamed("id", "child")
-    for depth in range(1, max_depth + 1):
+    while not level.isEmpty():
+        depth += 1
+        if depth > most + 1:
+            raise ValueError("a repeated id makes the tree endless")
         joined = children.join(level, children["parent_id"] == level["id"])
         level = materialize(joined.select(F.col("child").alias("id"), F.lit(depth).alias("depth"), F.array_append("index_path", F.col("ordinal")).alias("index_path"), F.array_append("ancestors", F.col("parent_id").cast("string")).alias("ancestors")), "tree")
-        if level.isEmpty():
-            break
         found = found.unionByName(level)
     return nodes.join(found, "id")
 
 
+def tree_problems(nodes: DataFrame, flat: DataFrame) -> DataFrame:
+    """(code, id) of the nodes that `flatten` does not reach: ORPHAN_NODE if the parent is no
+    node, else UNREACHED_NODE (below an orphan, or in a cycle)."""
+    lost = nodes.join(flat.select("id"), "id", "left_anti").select("id", "parent_id")
+    known = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("known")).distinct()
+    code = F.when(F.col("known"), "UNREACHED_NODE").otherwise("ORPHAN_NODE")
+    return lost.join(known, "parent_id", "left").select(code.alias("code"), "id")
+
+
+def number_siblings(nodes: DataFrame, parent: str, order: Sequence[str], out: str = "ordinal") -> DataFrame:
+    """nodes with `out`, the place among the siblings from 0 in the given order; a parent of
+    very many children is numbered by many tasks."""
+    return number_within(nodes, [parent], order, out).withColumn(out, F.col(out).cast("int"))
+
+
 def by_index_path(flat: DataFrame, path: list[int]) -> DataFrame:
     return flat.where(F.col("index_path") == F.array(*map(F.lit, path)))
 
@@ -39,9 +62,8 @@ def by_html_path(flat: DataFrame, path: str) -> DataFrame:
 
 def carry_owner(flat: DataFrame, owner: str, parent: str = "parent_id", order: str = "ordinal") -> DataFrame:
     """flat with carried_owner: the owner that the nearest sibling at or before the node
-    names. A window within the siblings, the only order-dependent step of the index."""
-    before = Window.partitionBy(parent).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return flat.withColumn("carried_owner", F.last(owner, ignorenulls=True).over(before))
+    names."""
+    return last_within(flat, [parent], [order], owner, "carried_owner")
 
 
 def visit_once(pages: DataFrame, key: str = "html_path", order: str = "visit") -> DataFrame:
@@ -60,47 +82,76 @@ def word_prefix(titles: Column, *prefixes: str) -> Column:
     return F.exists(titles, lambda t: F.rlike(t, F.lit(r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(prefixes) + ")")))
 
 
+#: Rules of a page's branch, in order: (branch, path pattern, words in a title of
+#: the page or its ancestors, beginnings of words in them); a rule holds if any of them does.
+BRANCHES = (
+    ("query_tables", "^tables/", "таблицы запросов|query tables", None),
+    ("primitive_types", None, "примитивные типы|primitive types", None),
+    ("global_context", r"^objects/Global context(/|\.html$)", None, None),
+    ("system_enums", r"^objects/catalog2(/|\.html$)", None, None),
+    ("metadata_objects", None, "прикладные объекты|application objects|metadata", None),
+    ("managed_forms", None, None, ("форм", "form")),
+    ("automation_external_api", None, "automation|external api", None),
+    ("platform_objects", "^objects/catalog", None, None),
+)
+MODULE_WORDS, FORM_PARAMETERS = "модул|module", "параметры формы|form parameters"
+MEMBER_BRANCHES = ("system_enums", "metadata_objects", "managed_forms", "platform_objects", "automation_external_api")
+#: Rules of a page's class, in order: (class, branches, path pattern, title words);
+#: a rule holds if its branches (None: any) hold and, where given, the path or the words do.
+CLASSES = (
+    ("catalog", None, r"^objects/catalog[0-9]*(?:/catalog[0-9]*)*\.html$", None),
+    ("module_event", None, "^objects/Global context/events/", None),
+    ("global_method", None, "^objects/Global context/methods/", None),
+    ("global_property", None, "^objects/Global context/properties/", None),
+    ("query_table_field", ("query_tables",), "/fields/", None),
+    ("query_table_parameter", ("query_tables",), "/params/", None),
+    ("query_table", ("query_tables",), "^tables/", None),
+    ("object_property", ("managed_forms",), "/params/", FORM_PARAMETERS),
+    ("module_event", ("global_context",), "/events/", None),
+    ("event", None, "/events/", None),
+    ("object_method", None, "/methods/", None),
+    ("enum_value", None, "/catalog2/(?:.*/)?properties/|/properties/(?:.*/)?catalog2/", None),
+    ("object_property", None, "/properties/", None),
+    ("constructor", None, "/ctors/", None),
+    ("enum", None, "^objects/catalog2/", None),
+    ("object_type", None, "^objects/catalog", None),
+)
+
+
+def first_rule(rules: Sequence[tuple], holds, name=lambda rule: F.lit(rule[0])) -> Column:
+    """CASE over the rules: the name of the first one that holds."""
+    found = F.when(F.lit(False), F.lit(None).cast("string"))
+    for rule in rules:
+        found = found.when(holds(rule), name(rule))
+    return found
+
+
 def branch_kind(path: Column, titles: Column) -> Column:
-    """Branch of a page from its path and the lower-case titles of itself and its ancestors;
-    the first rule that holds."""
-    under = lambda p: F.startswith(path, F.lit(p))
-    return (
-        F.when(under("tables/") | has(titles, "таблицы запросов", "query tables"), "query_tables")
-        .when(has(titles, "примитивные типы", "primitive types"), "primitive_types")
-        .when(under("objects/Global context/") | (path == "objects/Global context.html"), "global_context")
-        .when(under("objects/catalog2/") | (path == "objects/catalog2.html"), "system_enums")
-        .when(has(titles, "прикладные объекты", "application objects", "metadata"), "metadata_objects")
-        .when(word_prefix(titles, "форм", "form"), "managed_forms")
-        .when(has(titles, "automation", "external api"), "automation_external_api")
-        .when(under("objects/catalog"), "platform_objects")
-        .otherwise("unknown")
-    )
+    """Branch of a page from its path and the lower-case titles of itself and its ancestors."""
+
+    def holds(rule) -> Column:
+        _, pattern, words, prefixes = rule
+        ways = [F.rlike(path, F.lit(pattern))] if pattern else []
+        ways += [has(titles, words)] if words else []
+        ways += [word_prefix(titles, *prefixes)] if prefixes else []
+        return reduce(or_, (F.coalesce(w, F.lit(False)) for w in ways))
+
+    return F.coalesce(first_rule(BRANCHES, holds), F.lit("unknown"))
 
 
 def page_class(path: Column, branch: Column, titles: Column, has_children: Column) -> Column:
-    """Class of a page; the first rule that holds."""
-    under, inside = (lambda p: F.startswith(path, F.lit(p))), (lambda p: F.contains(path, F.lit(p)))
-    module = has(titles, "модул", "module")
-    typed = branch.isin("system_enums", "metadata_objects", "managed_forms", "platform_objects", "automation_external_api")
-    return (
-        F.when(F.rlike(path, F.lit(r"^objects/catalog[0-9]*(?:/catalog[0-9]*)*\.html$")), "catalog")
-        .when(under("objects/Global context/events/"), "module_event")
-        .when(under("objects/Global context/methods/"), "global_method")
-        .when(under("objects/Global context/properties/"), "global_property")
-        .when((branch == "query_tables") & inside("/fields/"), "query_table_field")
-        .when((branch == "query_tables") & inside("/params/"), "query_table_parameter")
-        .when((branch == "query_tables") & under("tables/"), "query_table")
-        .when((branch == "managed_forms") & (inside("/params/") | has(titles, "параметры формы", "form parameters")), "object_property")
-        .when(inside("/events/"), F.when((branch == "global_context") | module, "module_event").when(typed, "type_event").otherwise("unknown_event"))
-        .when(inside("/methods/"), "object_method")
-        .when(inside("/properties/") & inside("/catalog2/"), "enum_value")
-        .when(inside("/properties/"), "object_property")
-        .when(inside("/ctors/"), "constructor")
-        .when(under("objects/catalog2/"), "enum")
-        .when(under("objects/catalog"), "object_type")
-        .when(has_children, "catalog")
-        .otherwise("unknown")
-    )
+    """Class of a page. Events belong to a module, a type of the member branches, or are
+    unknown; what no rule names is a catalogue if it has children."""
+
+    def holds(rule) -> Column:
+        _, branches, pattern, words = rule
+        found = F.rlike(path, F.lit(pattern))
+        found = found | has(titles, words) if words else found
+        return found & branch.isin(*branches) if branches else found
+
+    event = F.when(has(titles, MODULE_WORDS), "module_event").when(branch.isin(*MEMBER_BRANCHES), "type_event").otherwise("unknown_event")
+    named = first_rule(CLASSES, holds, lambda rule: event if rule[0] == "event" else F.lit(rule[0]))
+    return F.coalesce(named, F.when(has_children, "catalog").otherwise("unknown"))
 
 
 def query_table_role(syntax: Column) -> Column:
@@ -109,14 +160,22 @@ def query_table_role(syntax: Column) -> Column:
     return F.when(syntax.isNull() | (n == 0), "unknown").when(n <= 2, "primary").otherwise("additional")
 
 
+#: Words of an owner's title that tell the kind of its module, in order.
+MODULES = (
+    ("form", "form|форм"),
+    ("manager", "manager|менеджер"),
+    ("record_set", "recordset|record set|набор"),
+    ("object", "object|объект"),
+    ("session", "session|сеанс"),
+    ("external_connection", "external connection|внешн"),
+    ("application", "application|приложен"),
+    ("command", "command|команд"),
+)
+
+
 def module_kind(owner_titles: Column) -> Column:
-    """Kind of module from the lower-case owner titles; the first rule that holds."""
-    rules = (("form", "форм"), ("manager", "менеджер"), ("record_set", "набор"), ("object", "объект"), ("session", "сеанс"), ("external_connection", "внешн"), ("application", "приложен"), ("command", "команд"))
-    english = {"record_set": "recordset|record set", "external_connection": "external connection"}
-    chain = F.when(F.lit(False), "")
-    for kind, word in rules:
-        chain = chain.when(has(owner_titles, english.get(kind, kind), word), kind)
-    return chain.otherwise("common")
+    """Kind of module from the lower-case owner titles."""
+    return F.coalesce(first_rule(MODULES, lambda rule: has(owner_titles, rule[1])), F.lit("common"))
 
 
 def discover_roots(flat: DataFrame) -> DataFrame:
@@ -134,28 +193,29 @@ def discover_roots(flat: DataFrame) -> DataFrame:
     return found.withColumn("diagnostic", F.when(F.col("root_kind") == "unknown", "UNKNOWN_ROOT")).drop("enums", "types")
 
 
-def merge_books(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
+def merge_books(nodes: DataFrame) -> DataFrame:
     """One tree of the nodes of many books of a locale: siblings with the same page address,
     or else the same section title, become one node; the first book (lowest book_seq, then
     ordinal) gives its title and page.
 
     nodes: locale, book_seq, id, parent_id, ordinal, title, page_key (null for sections).
     Result: locale, node_path (merge keys from the root, the node's identity), parent_path,
-    title, page_key, ordinal, books. Level by level, one aggregate each.
+    title, page_key, ordinal, books. Level by level down to the deepest, one aggregate each.
     """
     keyed = nodes.withColumn("merge_key", F.coalesce(F.concat(F.lit("page:"), "page_key"), F.concat(F.lit("title:"), title_key("title"))))
     level = materialize(keyed.where("parent_id IS NULL").withColumn("parent_path", F.array().cast("array<string>")), "merge")
     children = keyed.where("parent_id IS NOT NULL")
-    found = None
-    for _ in range(max_depth):
+    found, depth, most = None, 0, nodes.count()
+    while found is None or not level.isEmpty():
+        depth += 1
+        if depth > most + 1:
+            raise ValueError("a repeated id makes the tree endless")
         placed = level.withColumn("node_path", F.array_append("parent_path", F.col("merge_key")))
         merged = placed.groupBy("locale", "node_path").agg(F.min_by(F.struct("title", "page_key", F.col("book_seq").alias("first_book"), "ordinal", "parent_path"), F.struct("book_seq", "ordinal")).alias("r"), F.count_distinct("book_seq").alias("books"))
         merged = merged.select("locale", "node_path", "r.*", "books")
         found = merged if found is None else found.unionByName(merged)
         parents = placed.select("locale", "book_seq", F.col("id").alias("parent_id"), F.col("node_path").alias("parent_path"))
         level = materialize(children.join(parents, ["locale", "book_seq", "parent_id"]), "merge")
-        if level.isEmpty():
-            break
     return found
 
 

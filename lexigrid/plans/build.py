@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity as idf
-from ..functions.text import name_keys, tokens
-from ..operators import graph, identity, resolve
+from ..functions.text import name_keys
+from ..operators import graph, identity, resolve, search
 from ..schemas import CALLABLE_KINDS, KINDS, MEMBER_KINDS, TYPE_KINDS
 
 _PARAMETER = "struct<name:string,required:boolean,description:string,type_refs:array<string>>"
@@ -74,7 +74,7 @@ def build(records: DataFrame) -> dict[str, DataFrame]:
     templates = template_rows(types, refs)
     edges = graph.derive(docs.select("id", "owner_id", "kind"), refs.select("document_id", "ref_kind", F.col("target_type_id").alias("target_id"), F.col("target_type_name").alias("target_name"), "status"))
     searched = F.concat_ws(" ", "name_primary", "name_alias", "owner_primary", "owner_alias", "signature_text", "description")
-    found = documents.withColumn("tokens", tokens(searched)).select(F.col("id").alias("document_id"), "tokens", F.size("tokens").alias("length"))
+    worded = documents.select("id", searched.alias("text"))
     metadata = docs.select(
         "id", F.transform(F.coalesce("owner_path", F.array().cast("array<string>")), lambda n: F.struct(n.alias("primary"), none().alias("alias"))).alias("owner_path"), none().alias("note"), none().alias("default_value"),
         F.col("syntax_primary").alias("query_syntax_primary"), F.col("syntax_alias").alias("query_syntax_alias"), F.col("identifier").alias("query_identifier"), none().alias("query_table_role"),
@@ -93,7 +93,8 @@ def build(records: DataFrame) -> dict[str, DataFrame]:
         "parameters": parameters,
         "type_refs": refs,
         "document_names": names.select("k.key", "k.key_kind", "document_id"),
-        "document_search": found,
+        "document_search": search.lengths(worded, "text").withColumnRenamed("id", "document_id"),
+        "postings": search.postings(worded, "text").withColumnRenamed("id", "document_id"),
         "relations": edges.withColumn("evidence", none()),
         "diagnostics": diagnostics,
     }

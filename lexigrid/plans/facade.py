@@ -68,7 +68,7 @@ class FactIndex:
             hits = lookup.by_name(names, docs.where("kind = 'query_table'"), arguments["query_table"])
         else:
             owner = arguments.get("owner") or arguments.get("members_of") or arguments["constructors_of"]
-            owners = [r.id for r in self.types(owner).select("id").collect()]
+            owners = [r.id for r in self.types(owner).select("id").limit(2).collect()]
             if len(owners) > 1:
                 return "ambiguous", self.types(owner)
             if not owners:
@@ -103,8 +103,8 @@ class FactIndex:
             return search.fuzzy(self.t["document_names"], self.t["documents"], query, limit)
         if mode != "keywords":
             raise ValueError(f"unknown search mode {mode!r}")
-        text = F.concat_ws(" ", "name_primary", "name_alias", "owner_primary", "owner_alias", "signature_text", "description")
-        return search.keywords(self.t["documents"], text, query, limit)
+        stored = (self.t["postings"].withColumnRenamed("document_id", "id"), self.t["document_search"])
+        return search.keywords(self.t["documents"], None, query, limit, index=stored)
 
     # graph
 

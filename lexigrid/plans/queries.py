@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import availability, identity, paths, text, values
-from ..operators import graph, identity as ids, lookup, pages, resolve, search, stats, tree
+from ..operators import graph, identity as ids, lookup, ordering, pages, resolve, search, stats, tree
 from ..session import table
 from . import catalog
 from .provider import status_of
@@ -170,11 +170,9 @@ flat AS (SELECT id, 0 AS depth, CAST(o AS VARCHAR) AS index_path FROM ordered WH
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owned facts as tree nodes; ordinals are given within each owner."""
-    from pyspark.sql import Window
-
     docs = catalog.documents(spark, sf_dir, ("region", "nation", "supplier", "customer"))
-    place = F.row_number().over(Window.partitionBy("owner_id").orderBy("kind_priority", "name_primary", "id")) - 1
-    return docs.select("id", F.col("owner_id").alias("parent_id"), "kind", place.alias("ordinal"))
+    placed = tree.number_siblings(docs, "owner_id", ["kind_priority", "name_primary", "id"])
+    return placed.select("id", F.col("owner_id").alias("parent_id"), "kind", "ordinal")
 
 
 @query(f"WITH {_TREE} SELECT id, CAST(depth AS INTEGER) AS depth, index_path FROM flat")
@@ -378,7 +376,7 @@ def q29_median_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, round(m, 6) AS median, round(CASE WHEN b <> 0 THEN m / b END, 6) AS ratio, round((CASE WHEN b <> 0 THEN m / b END - 1) * 100, 6) AS percent FROM med LEFT JOIN base ON true"""
 )
 def q30_relative_to_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    medians = table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    medians = ordering.median_within(table(spark, sf_dir, "events"), ["event_type"], "value")
     found = stats.relative_to(medians, [], "event_type", "click", "median")
     return found.select("event_type", F.round("median", 6).alias("median"), F.round("ratio", 6).alias("ratio"), F.round("percent", 6).alias("percent"))
 
@@ -397,8 +395,8 @@ scored AS (SELECT doc_id, source, lang, -(
   + greatest(ln((n - dd + 0.5) / (dd + 0.5)), 1e-6) * (d * 2.2) / (d + 1.2 * (0.25 + 0.75 * length / mean))
   + greatest(ln((n - de + 0.5) / (de + 0.5)), 1e-6) * (e * 2.2) / (e + 1.2 * (0.25 + 0.75 * length / mean))) AS score
   FROM c, s WHERE a + b + d + e > 0),
-w AS (SELECT * FROM scored ORDER BY round(score, 6), doc_id LIMIT 200)
-SELECT doc_id AS id, round(score, 6) AS score, 10 AS tier FROM w ORDER BY round(score, 6), doc_id LIMIT 20"""
+w AS (SELECT doc_id, CAST(trunc(score * 1000000) AS BIGINT) AS score FROM scored ORDER BY 2, doc_id LIMIT 200)
+SELECT doc_id AS id, score, 10 AS tier FROM w ORDER BY score, doc_id LIMIT 20"""
 )
 def q31_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("name_primary"), F.col("lang").alias("name_alias"), F.lit(None).cast("string").alias("owner_primary"), F.lit(0).alias("kind_priority"))

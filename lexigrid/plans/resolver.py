@@ -80,7 +80,7 @@ def composite(asked: DataFrame, answers: DataFrame, active: Sequence[str], unsup
     known = answers.where(F.col("source").isin(*active)).distinct()
     per = known.groupBy("query", "source").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
     facts = F.flatten(F.collect_list(F.when(F.col("n") == 1, F.col("ids"))))
-    merged = per.groupBy("query").agg(F.max(F.col("n") > 1).alias("torn"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("n"), facts.alias("facts"), F.flatten(F.collect_list("ids")).alias("all"))
+    merged = per.groupBy("query").agg(F.max(F.col("n") > 1).alias("torn"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("n"), F.array_sort(facts).alias("facts"), F.flatten(F.collect_list("ids")).alias("all"))
     joined = asked.select("query").distinct().join(merged, "query", "left")
     torn, n = F.coalesce("torn", F.lit(False)), F.coalesce("n", F.lit(0))
     none = F.lit("unsupported" if unsupported else "not_found")

@@ -22,7 +22,8 @@ TABLES = {
     "parameters": "parameter_id string, signature_id string, ordinal int, name string, required boolean, description string",
     "type_refs": f"document_id string, signature_ordinal int, parameter_ordinal int, ordinal int, ref_kind string, target_type_name string, target_type_id string, status string, candidates array<string>, template_family string, template_variant string, bindings {BINDINGS}",
     "document_names": "key string, key_kind string, document_id string",
-    "document_search": "document_id string, tokens array<string>, length int",
+    "document_search": "document_id string, length int",
+    "postings": "token string, document_id string, tf int, length int",
     "relations": "source_id string, target_id string, edge_kind string, label string, evidence string, weight int",
 }
 
