@@ -18,33 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.paths import normalize_link
 from ..functions.text import col, collapse
 from ..functions.values import decode_entities
+from . import page_model
+from .page_model import BLOCKS
 
-#: Tags that separate words of the body text.
-BLOCKS = frozenset(
-    "address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
-)
-#: Section labels, in pairs of languages where both exist.
-SECTIONS = {
-    "properties": ("Свойства:", "Properties:"),
-    "methods": ("Методы:", "Methods:"),
-    "events": ("События:", "Events:"),
-    "syntax": ("Синтаксис:", "Syntax:"),
-    "parameters": ("Параметры:", "Parameters:"),
-    "returns": ("Возвращаемое значение:", "Return value:", "Returned value:"),
-    "usage": ("Использование:", "Use:"),
-    "values": ("Значения", "Values"),
-    "items": ("Элементы коллекции:", "Collection items:"),
-    "constructors": ("Конструкторы:", "Constructors:"),
-    "description": ("Описание:", "Description:"),
-    "availability": ("Доступность:", "Availability:"),
-    "note": ("Примечание:", "Note:"),
-    "example": ("Пример:", "Example:"),
-    "see_also": ("См. также:", "See also:"),
-    "since": ("Использование в версии:", "Available since:"),
-    "variant": ("Вариант синтаксиса:", "Syntax variant:"),
-    "variant_description": ("Описание варианта метода:", "Description of method variant:"),
-}
-FOOTERS = ("Методическая информация", "Methodical information")
 HREF = r'<a\s[^>]*href="([^"]*)"'
 
 
@@ -111,108 +87,45 @@ def body_text(page: str) -> str:
     return " ".join("".join(parser.parts).split())
 
 
-def section(text: str, name: str) -> str | None:
-    """Text behind the first label of the section, up to the next other label or footer."""
-    found = min(((at, label) for label in SECTIONS[name] if (at := text.find(label)) >= 0), default=None)
-    if found is None:
-        return None
-    start = found[0] + len(found[1])
-    others = [x for labels in SECTIONS.values() for x in labels if x != found[1]] + list(FOOTERS)
-    stop = min((at for x in others if (at := text.find(x, start)) >= 0), default=len(text))
-    return text[start:stop].strip() or None
-
-
-def parse_parameters(text: str | None) -> list[dict]:
-    """<Name> (optional) Type: A, B. Description ... of a parameter section."""
-    found = []
-    marks = list(re.finditer(r"<([^>]*)>", text or ""))
-    for i, mark in enumerate(marks):
-        rest = text[mark.end() : marks[i + 1].start() if i + 1 < len(marks) else len(text)]
-        low = rest.lower()
-        typed = re.search(r"(?:Тип|Type):\s*([^.]*)\.?", rest)
-        types = [x.strip() for x in re.split("[,;]", typed[1]) if x.strip()] if typed else []
-        tail = rest[typed.end() :] if typed else rest
-        found.append({"name": mark[1].strip(), "required": not ("необязательный" in low or "optional" in low), "type_refs": types, "description": tail.strip() or None})
-    return found
-
-
-def parse_signatures(text: str, returns: list[str]) -> list[dict]:
-    """One signature for each line of the syntax section (or of each overload); a parameter
-    belongs to the lines that spell its <name>."""
-    parameters = parse_parameters(section(text, "parameters"))
-    lines = [x.strip() for x in re.split(r"\n|(?<=\))\s+(?=\w+\()", section(text, "syntax") or "") if x.strip()]
-    own = lambda line: [p for p in parameters if f"<{p['name']}>" in line]
-    return [{"text": line, "parameters": own(line), "return_types": returns} for line in lines]
-
-
-def overload_returns(blocks: list[dict], page_level: list[str]) -> tuple[list[dict], list[str]]:
-    """Return types stay with the overloads only if every overload has some."""
-    if blocks and all(b["return_types"] for b in blocks):
-        return blocks, []
-    return [b | {"return_types": []} for b in blocks], page_level
-
-
-def normalize_example(lines: Sequence[str]) -> list[str]:
-    """Code lines with one blank between words, spacing inside quotes untouched; a quote left
-    open goes on in the next line."""
-    out, quoted = [], False
-    for line in lines:
-        made, blank = [], False
-        for char in line.strip() if not quoted else line:
-            if char == '"':
-                quoted = not quoted
-            if not quoted and char.isspace():
-                blank = True
-                continue
-            if blank and made:
-                made.append(" ")
-            blank = False
-            made.append(char)
-        out.append("".join(made))
-    return out
-
-
-def fuse_see_also(names: Sequence[tuple[str, str]]) -> list[str]:
-    """(kind, name) links in order: an owner followed by its member becomes Owner.Member."""
-    out, i = [], 0
-    while i < len(names):
-        if names[i][0] == "owner" and i + 1 < len(names) and names[i + 1][0] == "member":
-            out.append(f"{names[i][1]}.{names[i + 1][1]}")
-            i += 2
-        else:
-            out.append(names[i][1])
-            i += 1
-    return out
-
-
+_PARAMETER = pa.struct([("name", pa.string()), ("required", pa.bool_()), ("type_refs", pa.list_(pa.string())), ("description", pa.string())])
+_SIGNATURE = pa.struct([("text", pa.string()), ("variant", pa.string()), ("description", pa.string()), ("parameters", pa.list_(_PARAMETER)), ("return_types", pa.list_(pa.string()))])
+#: Fields of a parsed page.
+FIELDS = {
+    "text": pa.string(),
+    "sections": pa.map_(pa.string(), pa.string()),
+    "signatures": pa.list_(_SIGNATURE),
+    "return_types": pa.list_(pa.string()),
+    "type_refs": pa.list_(pa.string()),
+    "description": pa.string(),
+    "note": pa.string(),
+    "default_value": pa.string(),
+    "usage": pa.string(),
+    "since_text": pa.string(),
+    "availability_text": pa.string(),
+    "example": pa.list_(pa.string()),
+    "see_also": pa.list_(pa.string()),
+}
 PARAMETER = "struct<name:string,required:boolean,type_refs:array<string>,description:string>"
-PARSED = f"text string, sections map<string,string>, signatures array<struct<text:string,parameters:array<{PARAMETER}>,return_types:array<string>>>"
+SIGNATURE = f"struct<text:string,variant:string,description:string,parameters:array<{PARAMETER}>,return_types:array<string>>"
+PARSED = (
+    f"text string, sections map<string,string>, signatures array<{SIGNATURE}>, return_types array<string>, type_refs array<string>, description string, note string, "
+    "default_value string, usage string, since_text string, availability_text string, example array<string>, see_also array<string>"
+)
+#: Pages that Python holds at once.
+SLICE = 256
 
 
 def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, text, sections, signatures) of every page; a null page has none."""
+    """(id, FIELDS) of every page; a null page has none."""
     kind = pages.schema[id_col].dataType.simpleString()
-    schema = pa.schema(
-        [
-            ("text", pa.string()),
-            ("sections", pa.map_(pa.string(), pa.string())),
-            ("signatures", pa.list_(pa.struct([("text", pa.string()), ("parameters", pa.list_(pa.struct([("name", pa.string()), ("required", pa.bool_()), ("type_refs", pa.list_(pa.string())), ("description", pa.string())]))), ("return_types", pa.list_(pa.string()))]))),
-        ]
-    )
 
     def run(batches):
         for batch in batches:
-            texts, sections, signatures = [], [], []
-            for page in batch.column(1).to_pylist():
-                text = body_text(page or "")
-                found = {name: value for name in SECTIONS if (value := section(text, name))}
-                typed = re.search(r"(?:Тип|Type):\s*([^.]*)", found.get("returns", ""))
-                returns = [x.strip() for x in re.split("[,;]", typed[1]) if x.strip()] if typed else []
-                texts.append(text)
-                sections.append(list(found.items()))
-                signatures.append(parse_signatures(text, returns))
-            columns = [pa.array(x, t.type) for x, t in zip((texts, sections, signatures), schema, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *schema.names])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                read = [page_model.read(page) for page in part.column(1).to_pylist()]
+                columns = [pa.array([list(x[n].items()) if n == "sections" else x[n] for x in read], t) for n, t in FIELDS.items()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", *FIELDS])
 
     found = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id {kind}, {PARSED}")
     return found.withColumnRenamed("id", id_col)

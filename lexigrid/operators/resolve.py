@@ -59,12 +59,14 @@ def resolve_constructors(references: DataFrame, owner: str = "owner_type_id") ->
     )
 
 
-def gap_roles(references: DataFrame, role: str = "ref_kind", weight: str | None = None) -> DataFrame:
-    """Counts by role and status, and a row of totals (role null)."""
+def gap_roles(references: DataFrame, role: str = "ref_kind", weight: str | None = None, bindings: str = "bindings") -> DataFrame:
+    """Counts by role and status, of those with a template binding, and a row of totals
+    (role null)."""
     one = F.col(weight) if weight else F.lit(1)
+    bound = F.col(bindings).isNotNull() if bindings in references.columns else F.lit(False)
     count = lambda s: F.sum(F.when(F.col("status") == s, one).otherwise(0)).cast("long")
     return references.rollup(F.col(role).alias("role")).agg(
-        F.sum(one).cast("long").alias("total"), count("ok").alias("resolved"), count("unresolved").alias("unresolved"), count("ambiguous").alias("ambiguous")
+        F.sum(one).cast("long").alias("total"), count("ok").alias("resolved"), count("unresolved").alias("unresolved"), count("ambiguous").alias("ambiguous"), F.sum(F.when(bound, one).otherwise(0)).cast("long").alias("with_binding")
     )
 
 

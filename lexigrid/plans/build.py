@@ -20,7 +20,9 @@ _SIGNATURE = f"struct<title:string,description:string,parameters:array<{_PARAMET
 RECORD = (
     "seq long, kind string, name_primary string, name_alias string, owner_primary string, owner_alias string, owner_path array<string>, "
     f"signatures array<{_SIGNATURE}>, return_types array<string>, type_refs array<string>, extends array<string>, description string, "
-    "availability array<string>, since string, metadata_kind string, identifier string, syntax_primary string, syntax_alias string, module string, source_path string"
+    "availability array<string>, since string, metadata_kind string, identifier string, syntax_primary string, syntax_alias string, module string, source_path string, "
+    "note string, default_value string, usage string, query_table_role string, type_kind string, object_kind string, source_book string, source_locale string, source_toc string, source_family string, "
+    "parent_path string, semantic string, owner_semantic string"
 )
 
 
@@ -28,8 +30,9 @@ def identified(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records with id and owner_id, duplicate warnings, records whose owner is unknown).
 
     Types, enums and query tables are named by themselves, with a suffix where a name is
-    not unique; what they own is named through the owner of the lowest kind priority and
-    seq. Of rows with the same id the last one stays.
+    not unique. What they own is named through its owner: the one on the page that the
+    member's page lies below, else the one of its semantic key, else of those of its name
+    that of the lowest kind priority and seq. Of rows with the same id the last one stays.
     """
     priorities = F.create_map(*[F.lit(x) for kind, priority, _ in KINDS for x in (kind, priority)])
     rows = records.withColumn("kind_priority", priorities[F.col("kind")])
@@ -44,9 +47,15 @@ def identified(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     roots = roots.withColumn("id", root_id).withColumn("owner_id", F.lit(None).cast("string")).drop("same_count")
     keyed = roots.select("id", "kind_priority", "seq", F.explode(F.array_compact(F.array(idf.part_key("name_primary"), idf.part_key("name_alias")))).alias("owner_key"))
     owners = identity.best_owner(keyed, "owner_key").select("owner_key", F.col("id").alias("owner_id"))
+    by_path = identity.best_owner(roots.where("source_path IS NOT NULL").withColumn("__page", F.struct("source_book", "source_path")), "__page").select(F.col("__page").alias("__p"), F.col("id").alias("__by_path"))
+    by_meaning = identity.best_owner(roots.where("semantic <> ''"), "semantic").select(F.col("semantic").alias("__s"), F.col("id").alias("__by_meaning"))
     owned = rows.where(~F.col("kind").isin("platform_type", "enum", "query_table")).withColumn("owner_key", idf.part_key("owner_primary"))
-    good, orphans = identity.missing_parents(owned, owners, "owner_key")
-    good = good.withColumn("id", idf.owned_id("kind", "owner_id", "name_primary")).drop("owner_key")
+    owned = owned.join(by_path, F.struct("source_book", F.col("parent_path").alias("source_path")).eqNullSafe(F.col("__p")), "left").join(by_meaning, F.col("owner_semantic") == F.col("__s"), "left")
+    owned = owned.join(owners.withColumnsRenamed({"owner_key": "__o", "owner_id": "__by_name"}), F.col("owner_key") == F.col("__o"), "left")
+    owned = owned.withColumn("owner_id", F.coalesce("__by_path", "__by_meaning", "__by_name")).drop("__p", "__by_path", "__s", "__by_meaning", "__o", "__by_name")
+    lost = F.col("owner_id").isNull() & (F.col("owner_key").isNotNull() | F.col("parent_path").isNotNull())
+    orphans = owned.where(lost).withColumn("code", F.lit("MISSING_PARENT_IDENTITY"))
+    good = owned.where(~lost).withColumn("id", idf.owned_id("kind", "owner_id", "name_primary")).drop("owner_key")
     both = roots.unionByName(good)
     warnings = identity.duplicate_warnings(both, "id")
     return identity.keep_last(both, "id", "seq").drop("__base", "duplicate_count"), warnings, orphans
@@ -72,13 +81,14 @@ def build(records: DataFrame) -> dict[str, DataFrame]:
     parameters = listed.select("parameter_id", "signature_id", F.col("n").alias("ordinal"), "p.name", "p.required", "p.description")
     refs = resolved_references(docs, signed, listed)
     templates = template_rows(types, refs)
+    refs = bound(refs, docs, templates)
     edges = graph.derive(docs.select("id", "owner_id", "kind"), refs.select("document_id", "ref_kind", F.col("target_type_id").alias("target_id"), F.col("target_type_name").alias("target_name"), "status"))
     searched = F.concat_ws(" ", "name_primary", "name_alias", "owner_primary", "owner_alias", "signature_text", "description")
     worded = documents.select("id", searched.alias("text"))
     metadata = docs.select(
-        "id", F.transform(F.coalesce("owner_path", F.array().cast("array<string>")), lambda n: F.struct(n.alias("primary"), none().alias("alias"))).alias("owner_path"), none().alias("note"), none().alias("default_value"),
-        F.col("syntax_primary").alias("query_syntax_primary"), F.col("syntax_alias").alias("query_syntax_alias"), F.col("identifier").alias("query_identifier"), none().alias("query_table_role"),
-        idf.template_slots(F.coalesce("name_alias", "name_primary")).alias("template_parameters"), none().alias("source_book"), none().alias("source_locale"), "source_path", none().alias("source_toc"), none().alias("source_family"),
+        "id", F.transform(F.coalesce("owner_path", F.array().cast("array<string>")), lambda n: F.struct(n.alias("primary"), none().alias("alias"))).alias("owner_path"), "note", "default_value",
+        F.col("syntax_primary").alias("query_syntax_primary"), F.col("syntax_alias").alias("query_syntax_alias"), F.col("identifier").alias("query_identifier"), "query_table_role",
+        idf.template_slots(F.coalesce("name_alias", "name_primary")).alias("template_parameters"), "source_book", "source_locale", "source_path", "source_toc", "source_family",
     )
     diagnostics = warnings.select("code", "id", F.col("duplicate_count").cast("long").alias("count"))
     diagnostics = diagnostics.unionByName(orphans.select("code", F.concat_ws(":", "kind", "name_primary").alias("id"), F.lit(1).cast("long").alias("count")))
@@ -121,11 +131,19 @@ def resolved_references(docs: DataFrame, signed: DataFrame, listed: DataFrame) -
     found = resolve.resolve(rows, resolve.candidate_keys(types, metadata_column="metadata_kind"), "target_type_name")
     owners = docs.where("kind = 'constructor'").select(F.col("id").alias("__doc"), F.col("owner_id").alias("owner_type_id"))
     found = resolve.resolve_constructors(found.join(owners, F.col("document_id") == F.col("__doc"), "left"))
-    none_ = F.lit(None)
-    return found.select(
-        "document_id", "signature_ordinal", "parameter_ordinal", "ordinal", "ref_kind", "target_type_name", F.col("target_id").alias("target_type_id"), "status", "candidates",
-        none_.cast("string").alias("template_family"), none_.cast("string").alias("template_variant"), none_.cast("array<struct<owner_idx:int,target_idx:int>>").alias("bindings"),
-    )
+    return found.select("document_id", "signature_ordinal", "parameter_ordinal", "ordinal", "ref_kind", "target_type_name", F.col("target_id").alias("target_type_id"), "status", "candidates")
+
+
+def bound(refs: DataFrame, docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """refs with the template of their target and, where it is of the family of the owner's
+    template, what its parameters are bound to."""
+    known = templates.where("family IS NOT NULL").select("type_id", "family", "variant", "template_parameters")
+    owner = docs.select(F.col("id").alias("document_id"), F.coalesce("owner_id", "id").alias("__owner"))
+    mine = known.select(F.col("type_id").alias("__owner"), F.col("family").alias("__family"), F.col("template_parameters").alias("__own"))
+    theirs = known.select(F.col("type_id").alias("target_type_id"), F.col("family").alias("template_family"), F.col("variant").alias("template_variant"), F.col("template_parameters").alias("__wanted"))
+    found = refs.join(owner, "document_id", "left").join(mine, "__owner", "left").join(theirs, "target_type_id", "left")
+    pairs = F.when(F.size("__wanted") > 0, idf.bindings("__own", "__wanted", F.coalesce(F.col("__family") == F.col("template_family"), F.lit(False))))
+    return found.withColumn("bindings", pairs).select(*refs.columns, "template_family", "template_variant", "bindings")
 
 
 def template_rows(types: DataFrame, refs: DataFrame) -> DataFrame:

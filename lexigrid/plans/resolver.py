@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key
 from ..operators import lookup
+from ..schemas import TYPE_KINDS
 
 #: Module kinds whose members a source may know, by role.
 MODULE_ROLES = {"object": "object_module", "manager": "manager_module", "form": "form_module", "record_set": "record_set_module", "command": "command_module", "common": "common_module"}
@@ -39,6 +41,48 @@ class FactSource(ABC):
     def availability(self, mask: int, mode: str) -> DataFrame | None:
         return None
 
+    def module_context(self, kind: str) -> ModuleContext | None:
+        """What a module of the kind sees, None if the source does not know modules."""
+        return None
+
+    def describe(self) -> dict:
+        return {"source": self.name, "capabilities": sorted(self.capabilities)}
+
+
+@dataclass
+class ModuleContext:
+    """The self member (id) of a module, and (id, kind, name_primary) of what it holds."""
+
+    id: str
+    sources: list[str]
+    self_member: str | None = None
+    properties: DataFrame | None = None
+    methods: DataFrame | None = None
+    events: DataFrame | None = None
+    facts: list[str] = field(default_factory=list)
+
+    def holds(self) -> bool:
+        return bool(self.sources or self.self_member or self.facts)
+
+
+def merge_contexts(kind: str, contexts: Sequence[ModuleContext]) -> ModuleContext | None:
+    """One context of several: the first one's id and self member stay, other self members
+    become facts, sources are listed once, members are united. None if nothing is held."""
+    merged = ModuleContext(f"module_context:{kind}", [])
+    for number, found in enumerate(contexts):
+        if not number:
+            merged.id = found.id
+        merged.sources += [s for s in found.sources if s not in merged.sources]
+        if merged.self_member is None:
+            merged.self_member = found.self_member
+        elif found.self_member is not None:
+            merged.facts.append(found.self_member)
+        for name in ("properties", "methods", "events"):
+            mine, theirs = getattr(merged, name), getattr(found, name)
+            setattr(merged, name, mine if theirs is None else theirs if mine is None else mine.unionByName(theirs))
+        merged.facts += found.facts
+    return merged if merged.holds() else None
+
 
 class IndexSource(FactSource):
     """A source over the tables of an index."""
@@ -52,8 +96,35 @@ class IndexSource(FactSource):
     def resolve(self, queries: DataFrame) -> DataFrame:
         return lookup.by_name(self.tables["document_names"], self.documents, queries).select("query", "id")
 
+    def resolve_type(self, queries: DataFrame) -> DataFrame:
+        """(query, id) of types only."""
+        types = self.documents.where(F.col("kind").isin(*TYPE_KINDS))
+        return lookup.by_name(self.tables["document_names"], types, queries, ["primary", "alias"]).select("query", "id")
+
     def members(self, owner_id, name=None, kind=None):
-        return lookup.members_of(self.tables["members"], self.documents, owner_id, name, kind) if "members" in self.tables else None
+        """Members of a type; the values of an enum are its members. A name is compared as it
+        is written."""
+        if "members" not in self.tables:
+            return None
+        found = lookup.members_of(self.tables["members"], self.documents, owner_id, None, kind)
+        if kind in (None, "enum_value") and "relations" in self.tables:
+            values = self.documents.where("kind = 'enum_value'").join(self._owned(owner_id), "id", "left_semi").withColumn("member_name", F.col("name_primary"))
+            found = found.unionByName(values.select(*found.columns))
+        return found if name is None else found.where((F.col("name_primary") == name) | (F.col("name_alias") == name))
+
+    def _owned(self, owner_id: str) -> DataFrame:
+        """Ids of what the edges say that the owner owns."""
+        return self.tables["relations"].where((F.col("source_id") == owner_id) & (F.col("edge_kind") == "owns")).select(F.col("target_id").alias("id"))
+
+    def module_context(self, kind):
+        """Events of the modules of the kind, with the global methods and properties."""
+        if kind not in MODULE_ROLES.values():
+            return None
+        columns = ("id", "kind", "name_primary")
+        of_kind = self.tables["document_names"].where((F.col("key_kind") == "module_context") & (F.col("key") == normalize_key(F.lit(kind.removesuffix("_module")))))
+        events = self.documents.where("kind = 'module_event'").join(of_kind.select(F.col("document_id").alias("id")).distinct(), "id", "left_semi")
+        methods, properties = (self.documents.where(F.col("kind") == k).select(*columns) for k in ("global_method", "global_property"))
+        return ModuleContext(f"{self.name}/module_context:{kind}", [self.name], None, properties, methods, events.select(*columns))
 
     def callables(self, owner_id, name=None):
         return lookup.callables_of(self.tables["callables"], self.documents, owner_id, name) if "callables" in self.tables else None
@@ -69,6 +140,57 @@ class IndexSource(FactSource):
         return self.documents.where(available(array_mask(F.coalesce("availability_contexts", F.array().cast("array<string>"))), mask, mode))
 
 
+class LanguageSource(FactSource):
+    """Facts of the language pages (operators.language.FACT); they have no members."""
+
+    capabilities = frozenset({"resolve", "callables"})
+
+    def __init__(self, name: str, facts: DataFrame, domain: str):
+        self.name, self.documents = name, facts.where(F.col("domain") == domain)
+
+    def resolve(self, queries):
+        wanted = queries.select("query", normalize_key("query").alias("key")).distinct()
+        keys = F.array_compact(F.array(normalize_key("name_primary"), normalize_key("name_alias")))
+        names = self.documents.select("id", F.explode(F.array_distinct(keys)).alias("key"))
+        return names.join(wanted, "key").select("query", "id").distinct()
+
+    def callables(self, owner_id, name=None):
+        found = self.documents.where("kind = 'language_function'")
+        key = normalize_key(F.lit(name))
+        return found if name is None else found.where((normalize_key("name_primary") == key) | (normalize_key("name_alias") == key))
+
+
+class QueryTableSource(IndexSource):
+    """Query tables of an index by name, syntax or identifier; members are not supported, the
+    fields and parameters of a table are enumerated directly."""
+
+    def __init__(self, name: str, tables: dict[str, DataFrame]):
+        super().__init__(name, tables, ("query_table", "query_field", "query_parameter"))
+        self.capabilities = frozenset({"resolve"})
+
+    def resolve(self, queries):
+        tables = self.documents.where("kind = 'query_table'")
+        return lookup.by_name(self.tables["document_names"], tables, queries).select("query", "id")
+
+    def members(self, owner_id, name=None, kind=None):
+        return None
+
+    def callables(self, owner_id, name=None):
+        return None
+
+    def _parts(self, table_id: str, kind: str, name: str | None) -> DataFrame:
+        found = self.documents.where(F.col("kind") == kind).join(self._owned(table_id), "id", "left_semi")
+        key = normalize_key(F.lit(name))
+        found = found if name is None else found.where((normalize_key("name_primary") == key) | (normalize_key("name_alias") == key))
+        return found.orderBy("kind_priority", "id")
+
+    def fields(self, table_id: str, name: str | None = None) -> DataFrame:
+        return self._parts(table_id, "query_field", name)
+
+    def parameters(self, table_id: str, name: str | None = None) -> DataFrame:
+        return self._parts(table_id, "query_parameter", name)
+
+
 def composite(asked: DataFrame, answers: DataFrame, active: Sequence[str], unsupported: Sequence[str] = ()) -> DataFrame:
     """query, status, n_facts, facts and candidates of every asked query.
 
@@ -138,6 +260,23 @@ class CompositeResolver:
             found = rows if found is None else found.unionByName(rows)
         return found if found is None else found.dropDuplicates(["id"])
 
+    def describe(self) -> list[dict]:
+        return [self.sources[name].describe() for name in self.active]
+
+    def module_context(self, kind: str, only: Sequence[str] = ()) -> tuple[str, ModuleContext | None]:
+        """The merged context of a module kind over the active sources (or those of `only`)."""
+        asked = [self.sources[n] for n in self.active if not only or n in only]
+        known = [c for c in (s.module_context(kind) for s in asked) if c is not None]
+        if asked and not known:
+            return "unsupported", None
+        merged = merge_contexts(kind, known)
+        return ("ok", merged) if merged else ("not_found", None)
+
+    def metadata_module(self, selector: str, selectors: Mapping[str, str] | None = None) -> str | None:
+        """Module kind of a selector such as a role or a spelling of it; None if there is none."""
+        table = {k: v for k, v in MODULE_ROLES.items()} | dict(selectors or {})
+        return table.get(selector.strip().lower())
+
     def module_members(self, role: str, owner_id: str) -> tuple[str, DataFrame | None]:
         """Members of a module of the given role: properties, then methods, then events."""
         if role not in MODULE_ROLES or role not in MEMBER_ROLES:

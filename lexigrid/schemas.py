@@ -47,6 +47,8 @@ KINDS = (
     ("language_function", 150, "return_type"),
     ("language_construct", 150, None),
     ("language_literal", 150, None),
+    ("language_operator", 150, None),
+    ("language_keyword", 150, None),
 )
 CALLABLE_KINDS = ("global_method", "method", "constructor", "type_event", "module_event", "event", "language_function")
 MEMBER_KINDS = ("method", "property", "constructor", "type_event")

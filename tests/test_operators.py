@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrid.operators import graph, identity, language, lookup, pages, resolve, search, stats, tree
+from lexigrid.operators import graph, identity, language, lookup, ordering, page_model, pages, resolve, search, stats, tree
 from lexigrid.plans import provider, resolver
 
 
@@ -24,7 +24,7 @@ def test_page_parsing(spark):
     assert found[2].text == "" and found[2].signatures == []
     assert found[1].sections["availability"] == "Server, thin client." and "syntax" in found[1].sections
     (signature,) = found[1].signatures
-    assert signature.text == "Add(<Value>)" and signature.return_types == ["Array"]
+    assert signature.text == "Add(<Value>)" and signature.return_types == [] and found[1].return_types == ["Array"]
     (parameter,) = signature.parameters
     assert (parameter.name, parameter.required, parameter.type_refs, parameter.description) == ("Value", False, ["String", "Number"], "The value.")
     assert rows(pages.links(df), "ordinal", "href") == [(0, "/x.html"), (1, "y.html#f")]
@@ -41,10 +41,10 @@ def test_link_resolution(spark):
 
 def test_page_helpers():
     assert pages.body_text("<body>a<b>b</b><br>c<script>x</script><p>d</p></body>") == "ab c d"
-    assert pages.normalize_example(['A  =  "x  y', 'z  w"  ;']) == ['A = "x  y', 'z  w" ;']
-    assert pages.fuse_see_also([("owner", "Array"), ("member", "Add"), ("owner", "Map")]) == ["Array.Add", "Map"]
-    assert pages.overload_returns([{"return_types": ["A"]}, {"return_types": []}], ["B"])[1] == ["B"]
-    assert pages.overload_returns([{"return_types": ["A"]}], ["B"])[1] == []
+    assert page_model.normalize_example(['A  =  "x  y', 'z  w"  ;']) == ['A = "x  y', 'z  w" ;']
+    assert page_model.fuse_see_also([("owner", "Array"), ("member", "Add"), ("owner", "Map")]) == ["Array.Add", "Map"]
+    assert page_model.overload_returns([{"return_types": ["A"]}, {"return_types": []}], ["B"])[1] == ["B"]
+    assert page_model.overload_returns([{"return_types": ["A"]}], ["B"])[1] == []
     text = pages.to_markdown('<h2>T</h2><p>a <b>b</b></p><ul><li>x</li></ul><a href="p.html#f">l</a><a href="http://h">e</a>', "T", {"p.html": "p.md"})
     assert text.startswith("## T\n") and "a **b**" in text and "- x" in text and "[l](p.md#f)" in text and "[e](http://h)" in text
     assert pages.to_markdown("", "Only") == "# Only\n"
@@ -53,8 +53,22 @@ def test_page_helpers():
 def test_markdown_and_language(spark):
     df = spark.createDataFrame([(1, "lang/def_string.html", "<h1>String (Строка)</h1><p>Description:</p>Text."), (2, "lang/other.html", "x")], "page_id long, path string, html string")
     assert rows(pages.render_markdown(df.withColumn("title", F.lit("T")))) [0][1].startswith("# String")
-    found = language.facts(df, [("language", "def_", "type"), ("language", "d", "other")]).collect()
-    assert [(r.id, r.kind, r.name_primary, r.name_alias) for r in found] == [("language:def_string", "language_type", "String", "Строка")]
+    made = [
+        ("shlang", "v8help://x/def_String.html", "<h1>String (Строка)</h1><p>A text.</p>"), ("shlang", "def_Func", "<h1>Function</h1><p>Declares.</p><p>Syntax: Function Name()</p>"), ("shlang", "other.html", "x"),
+        ("shquery", "SUM", "<h1>SUM</h1><pre>SUM(&lt;Expr&gt;)</pre><p>Adds.</p><blockquote><p>Expr - a Number field</p></blockquote><p>Return value: Number</p>"),
+        ("shquery", "STRING", "<h1>STRING</h1><pre>STRING(n)</pre><p>Return value: String or Number</p>"),
+        ("dcsui", "SKD_Functions_Strings.htm", "<h1>Strings</h1><p>StringLength</p><p>Syntax: StringLength(s) Parameter: s</p>"), ("dcsui", "SKD_ExtQueryLangv", "<h1>Extension</h1><p>Use SELECT here.</p>"), ("dcsui", "def_String", "y"),
+    ]
+    found = language.facts(spark.createDataFrame(made, "family string, path string, html string"), locale="root")
+    facts = {r.id: r for r in found.collect()}
+    assert sorted(facts) == ["dcsui:SKD_ExtQueryLangv", "dcsui:SKD_ExtQueryLangv:SELECT", "dcsui:SKD_Functions_Strings:StringLength", "shlang:def_Func", "shlang:def_String", "shquery:STRING", "shquery:SUM"]
+    assert (facts["shlang:def_String"].kind, facts["shlang:def_String"].name_primary, facts["shlang:def_String"].name_alias, facts["shlang:def_String"].description) == ("language_type", "String", "Строка", "A text.")
+    assert facts["shlang:def_Func"].syntax == "Function Name()" and facts["dcsui:SKD_ExtQueryLangv:SELECT"].name_primary == "{SELECT}"
+    total = facts["shquery:SUM"]
+    assert (total.syntax, total.parameters[0].name, total.parameters[0].type_refs, total.return_types) == ("SUM(<Expr>)", "Expr", ["Number"], ["Number"])
+    assert facts["dcsui:SKD_Functions_Strings:StringLength"].syntax == "StringLength(s)"
+    targets = {(r.document_id, r.target_type_name): r.target_type_id for r in language.type_targets(found).collect()}
+    assert targets["shquery:STRING", "String"] == "shquery:LitString" and targets["dcsui:SKD_Functions_Strings:StringLength", "String"] == "shlang:def_String" and targets["shquery:SUM", "Number"] is None
     words = df.select("page_id", F.col("html").alias("text"))
     assert rows(language.keyword_facts(words, [("String", "type"), ("None", "x")]), "page_id", "keyword") == [(1, "String")]
 
