@@ -66,7 +66,7 @@ def template_base(name: Column | str, alias: Column | str, allow_primary: bool =
 
 def template_slots(name: Column | str) -> Column:
     """Distinct <slots> of a name in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(col(name), F.lit("<([^>]*)>"), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(col(name), F.lit("<([^>]*)>"), F.lit(1)), lambda slot: F.trim(slot)))
 
 
 def manager_root(name: Column | str) -> Column:

@@ -316,7 +316,7 @@ def q23_document_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_REFS} SELECT ref_kind AS role, CAST(sum(n) AS BIGINT) AS total, CAST(sum(CASE WHEN status = 'ok' THEN n ELSE 0 END) AS BIGINT) AS resolved,
-  CAST(sum(CASE WHEN status = 'unresolved' THEN n ELSE 0 END) AS BIGINT) AS unresolved, CAST(sum(CASE WHEN status = 'ambiguous' THEN n ELSE 0 END) AS BIGINT) AS ambiguous
+  CAST(sum(CASE WHEN status = 'unresolved' THEN n ELSE 0 END) AS BIGINT) AS unresolved, CAST(sum(CASE WHEN status = 'ambiguous' THEN n ELSE 0 END) AS BIGINT) AS ambiguous, CAST(0 AS BIGINT) AS with_binding
 FROM resolved GROUP BY ROLLUP (ref_kind)"""
 )
 def q24_gap_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -603,3 +603,6 @@ def q50_composite_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
         hits = lookup.by_name(names, docs, asked).select("query", "id").withColumn("source", F.lit(source))
         answers = hits if answers is None else answers.unionByName(hits)
     return composite(asked, answers, ["goods", "geography"]).select("query", "status", "n_facts")
+
+
+from . import more_queries  # noqa: E402, F401 - registers q51 and on
