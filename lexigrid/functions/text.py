@@ -58,6 +58,12 @@ def searchable_name(value: Column | str) -> Column:
     return F.lower(F.regexp_replace(split, r"[^\p{L}\p{N}]", " "))
 
 
+def searchable_line(value: Column | str) -> Column:
+    """The tokens of a value with one blank between them (and perhaps at the ends)."""
+    split = F.regexp_replace(col(value), r"(\p{Ll})(\p{Lu})", "$1 $2")
+    return F.lower(F.regexp_replace(split, r"[^\p{L}\p{N}]+", " "))
+
+
 def searchable_text(value: Column | str) -> Column:
     """searchable_name of each blank-separated word, joined by one blank."""
     words = F.filter(F.split(col(value), r"(?U)\s+"), lambda w: F.length(w) > 0)

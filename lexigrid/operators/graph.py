@@ -63,6 +63,7 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, kinds: S
     at that many in visit order. The order is a sortable array and needs no global numbering.
     """
     steps = edges.where(F.col("edge_kind").isin(*kinds)) if kinds else edges
+    steps = materialize(steps.select("source_id", "target_id", "edge_kind", "weight"), "steps")
     start = roots.select("node").distinct()
     level = materialize(start.select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<struct<kind:string,node:string>>").alias("path"), F.array("node").alias("visit")), "bfs")
     seen = level

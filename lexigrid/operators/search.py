@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -9,7 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fuzzy_distance, fuzzy_threshold, normalize_key, query_terms, relation_tier, searchable_name, tokens
+from ..functions.text import fuzzy_distance, fuzzy_threshold, normalize_key, query_terms, relation_tier, searchable_line, searchable_name, tokens
 from ..session import materialize
 
 K1, B = 1.2, 0.75
@@ -30,10 +31,11 @@ def lengths(documents: DataFrame, text: Column | str, id_col: str = "id") -> Dat
 
 
 def counted(documents: DataFrame, text: Column | str, terms: Sequence[str], id_col: str = "id") -> DataFrame:
-    """(id, length, tf0, tf1 ...) by one pass over the texts, each tokenized once."""
-    begun = lambda w, term: F.size(F.filter(w, lambda x: F.startswith(x, F.lit(term))))
-    one = lambda w: F.struct(F.size(w).alias("length"), *[begun(w, t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    bound = F.element_at(F.transform(F.array(tokens(text)), one), 1)
+    """(id, length, tf0, tf1 ...) by one pass over the texts: each is normalized once, then
+    its words, and those that begin with a term, are counted in it."""
+    count = lambda line, pattern: F.regexp_count(line, F.lit(pattern))
+    one = lambda line: F.struct(count(line, "[^ ]+").alias("length"), *[count(line, f"(?:^| ){re.escape(t)}").alias(f"tf{i}") for i, t in enumerate(terms)])
+    bound = F.element_at(F.transform(F.array(searchable_line(text)), one), 1)
     return materialize(documents.select(F.col(id_col).alias("id"), bound.alias("c")).select("id", "c.*"), "term-counts")
 
 

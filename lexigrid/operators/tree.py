@@ -25,11 +25,11 @@ def flatten(nodes: DataFrame) -> DataFrame:
     base = nodes.select("id", "parent_id", F.col("ordinal").cast("int").alias("ordinal"))
     level = base.where("parent_id IS NULL").select("id", F.lit(0).alias("depth"), F.array("ordinal").alias("index_path"), F.array().cast("array<string>").alias("ancestors"))
     level = materialize(level, "tree")
-    found, depth, most = level, 0, nodes.count()
+    found, depth = level, 0
     children = base.where("parent_id IS NOT NULL").withColumnRenamed("id", "child")
     while not level.isEmpty():
         depth += 1
-        if depth > most + 1:
+        if depth % 64 == 0 and depth > nodes.count():
             raise ValueError("a repeated id makes the tree endless")
         joined = children.join(level, children["parent_id"] == level["id"])
         level = materialize(joined.select(F.col("child").alias("id"), F.lit(depth).alias("depth"), F.array_append("index_path", F.col("ordinal")).alias("index_path"), F.array_append("ancestors", F.col("parent_id").cast("string")).alias("ancestors")), "tree")
@@ -205,10 +205,10 @@ def merge_books(nodes: DataFrame) -> DataFrame:
     keyed = nodes.withColumn("merge_key", F.coalesce(F.concat(F.lit("page:"), "page_key"), F.concat(F.lit("title:"), title_key("title"))))
     level = materialize(keyed.where("parent_id IS NULL").withColumn("parent_path", F.array().cast("array<string>")), "merge")
     children = keyed.where("parent_id IS NOT NULL")
-    found, depth, most = None, 0, nodes.count()
+    found, depth = None, 0
     while found is None or not level.isEmpty():
         depth += 1
-        if depth > most + 1:
+        if depth % 64 == 0 and depth > nodes.count():
             raise ValueError("a repeated id makes the tree endless")
         placed = level.withColumn("node_path", F.array_append("parent_path", F.col("merge_key")))
         merged = placed.groupBy("locale", "node_path").agg(F.min_by(F.struct("title", "page_key", F.col("book_seq").alias("first_book"), "ordinal", "parent_path"), F.struct("book_seq", "ordinal")).alias("r"), F.count_distinct("book_seq").alias("books"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import availability, identity, paths, text, values
 from ..operators import export, graph, identity as ids, lookup, ordering, pages, resolve, search, stats, tree
 from ..schemas import CALLABLE_KINDS, kinds
-from ..session import table
+from ..session import spread, table
 from . import catalog, extract
 from .build import template_rows
 from .queries import _CLASSED, KEY, WS, catalog_sql, classed, named, query
@@ -563,5 +563,5 @@ _BODY = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^
 
 @query(f"SELECT page_id, CAST(len(list_filter(regexp_split_to_array({_BODY}, '{WS}'), lambda w: w <> '')) AS INTEGER) AS words FROM pages")
 def q99_body_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = pages.parse(table(spark, sf_dir, "pages"))
+    parsed = pages.parse(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
     return parsed.select("page_id", F.size(F.filter(F.split("text", WS), lambda w: w != "")).alias("words"))

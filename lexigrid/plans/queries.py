@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import availability, identity, paths, text, values
 from ..operators import graph, identity as ids, lookup, ordering, pages, resolve, search, stats, tree
-from ..session import table
+from ..session import spread, table
 from . import catalog
 from .provider import status_of
 from .resolver import composite
@@ -53,12 +53,12 @@ _DECODE = "replace(replace(replace(replace(replace(replace(replace(regexp_replac
 
 @query(f"SELECT page_id, coalesce({_TAG.format(decoded=_DECODE.format(t='title'))}, {_TAG.format(decoded=_DECODE.format(t='h1'))}, '') AS title FROM pages")
 def q01_page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", pages.title("html").alias("title"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", pages.title("html").alias("title"))
 
 
 @query(f"SELECT doc_id, substr(trim(regexp_replace(text, '{WS}', ' ', 'g')), 1, 240) AS preview FROM documents")
 def q02_text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.preview("text").alias("preview"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.preview("text").alias("preview"))
 
 
 _LINKS = """links AS (
@@ -399,7 +399,8 @@ w AS (SELECT doc_id, CAST(trunc(score * 1000000) AS BIGINT) AS score FROM scored
 SELECT doc_id AS id, score, 10 AS tier FROM w ORDER BY score, doc_id LIMIT 20"""
 )
 def q31_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("name_primary"), F.col("lang").alias("name_alias"), F.lit(None).cast("string").alias("owner_primary"), F.lit(0).alias("kind_priority"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    docs = docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("name_primary"), F.col("lang").alias("name_alias"), F.lit(None).cast("string").alias("owner_primary"), F.lit(0).alias("kind_priority"))
     return search.keywords(docs, "text", TERMS, 20)
 
 
