@@ -80,14 +80,41 @@ def test_token_counts(spark):
 
 
 def test_chunk_maps_compose_in_any_grouping():
+    ours, rnd = tokencount.counter(P.path("word_bpe_49k.json")), random.Random(6)
+    machine, pieces = ours.machine, ["it's", "'re", "''s", "'", "r'e", "'ll", "'l", "x9'tz", "unbroken" * 30, "!'s", "né", "日本", "😀'd", " ", "  ", "'v", "e", "42"]
+    for _ in range(150):
+        text = ours.normal("".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 40))))
+        cuts = sorted(rnd.randint(0, len(text)) for _ in range(rnd.randint(0, 12)))
+        machine.read = 0
+        maps = [ours.chunk(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        left = maps[0]
+        for m in maps[1:]:
+            left = machine.compose(left, m)
+        total = machine.total(left)
+        assert total == ours.count(text), repr(text)
+        assert machine.read <= len(text)  # no character is read twice
+        right = maps[-1]
+        for m in reversed(maps[:-1]):
+            right = machine.compose(m, right)
+        assert machine.total(right) == machine.total(machine.scan(maps)) == total
+
+
+def test_a_map_acts_on_every_state():
     ours = tokencount.counter(P.path("word_bpe_49k.json"))
-    text = ours.normal("Some words, isn't it? " * 20 + "unbroken" * 30)
-    maps = [ours.chunk(text[i : i + 9]) for i in range(0, len(text), 9)]
-    left = maps[0]
-    for m in maps[1:]:
-        left = ours.compose(left, m)
-    right = maps[-1]
-    for m in reversed(maps[:-1]):
-        right = ours.compose(m, right)
-    whole = lambda m: ours.count(m.head) + (m.inner or 0) + ours.count(m.tail)
-    assert whole(left) == whole(right) == whole(ours.scan(maps)) == ours.count(text)
+    machine = ours.machine
+    for before in ("", "wor", "'", "'l", "'re", "!?", "9", "it'", "caf"):
+        state, emitted = machine.run((tokencount.IDLE, 0), before)
+        for chunk in ("ds and more", "l", "é's x'", "", " ", "''"):
+            found = ours.chunk(chunk)
+            after, more = machine.run(state, found.head)
+            got = emitted + more + machine.close(after) + (0 if found.tokens is None else found.tokens + machine.close(found.out))
+            assert got == ours.count(before + chunk), (before, chunk)
+
+
+def test_no_special_strings(tmp_path):
+    import json
+
+    spec = json.load(open(P.path("word_bpe_49k.json"), encoding="utf-8"))
+    spec["added_tokens"] = []
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    assert tokencount.TokenCounter(str(tmp_path / "t.json")).tokens("two words") == tokencount.counter(P.path("word_bpe_49k.json")).tokens("two words")
