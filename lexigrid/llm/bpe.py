@@ -121,7 +121,7 @@ def last_token(vocab: ByteVocab, piece: bytes, end: int, last: list[int]) -> int
         pair = last[at - 1] << 32 | token
         fits = known.get(pair)
         if fits is None:
-            fits = known[pair] = vocab.whole(token) and vocab.stable(last[at - 1], token)
+            fits = vocab.whole(token) and vocab.stable(last[at - 1], token)
         if fits:
             return token
     raise ValueError("the vocabulary lacks a byte")
@@ -229,12 +229,14 @@ def encoder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(ByteVocab.load(path), pattern)
 
 
-def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, ids array<int>, decoded binary (the bytes that the ids stand for).
+def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+    """`id_col`, ids array<int>, decoded binary (the bytes that the ids stand for; null
+    without `decode`).
 
     path: a rank file that every executor has (a parameter; a file of an installed
     package). A null text is empty and gives no ids; rows, ties and repeated rows are
-    kept one by one; columns besides the two are not read. No shuffle: one scan.
+    kept one by one, a very long text is encoded whole; columns besides the two are not
+    read. No shuffle: one scan.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -245,7 +247,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
             ids = bpe.encode(text or "")
             values.append(np.array(ids, dtype=np.int32))
             ends.append(ends[-1] + len(ids))
-            decoded.append(bpe.decode(ids))
+            decoded.append(bpe.decode(ids) if decode else None)
         flat = np.concatenate(values) if values else np.zeros(0, np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
         return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])

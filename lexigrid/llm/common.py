@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +20,32 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Bytes of strings in a slice, unless one row alone has more.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int = SLICE_BYTES):
+    """The batch in slices of at most `rows` rows and `size` bytes of strings (one row at least)."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(held), 0
+    while start < batch.num_rows:
+        most = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right"))
+        stop = min(start + rows, max(start + 1, most), batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def arrow_map(df: DataFrame, columns: Sequence[str | Column], schema: str, per_slice: Callable, rows: int = 512) -> DataFrame:
-    """mapInArrow over `columns` only, in slices of at most `rows` rows so that Python
-    holds a bounded number of texts and results at once."""
+    """mapInArrow over `columns` only, in slices of bounded rows and bytes so that Python
+    holds a bounded part of the texts and results at once, or one very long text."""
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                yield per_slice(batch.slice(start, rows))
+            for part in slices(batch, rows):
+                yield per_slice(part)
 
     return df.select(*columns).mapInArrow(run, schema)
 

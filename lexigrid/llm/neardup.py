@@ -29,8 +29,9 @@ BAND_ROWS = 5
 BANDS = tuple(f"band{i}" for i in range(20))
 #: What makes BAND_ROWS hashes for each band out of one: (h ^ first) * second, second odd.
 MIXERS = np.random.default_rng(42).integers(0, 1 << 64, (2, len(BANDS) * BAND_ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
-#: Families above this size are compared in pairs of chunks of about this size.
-FAMILY_ROWS = 512
+#: Families above this number of texts, or of shingles, are compared in pairs of chunks of
+#: about this size.
+FAMILY_ROWS, FAMILY_SHINGLES = 256, 1 << 18
 
 
 def hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -65,20 +66,22 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def prints(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, key (128-bit hash of the word sequence), words, pairs and shingles (SimHashes), and the bands."""
+    """id, key (128-bit hash of the word sequence), size (number of shingles), words, pairs and
+    shingles (SimHashes), and the bands."""
 
     def per_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, cols = [], [[] for _ in (*PRINTS, *BANDS)]
+        keys, sizes, cols = [], [], [[] for _ in (*PRINTS, *BANDS)]
         for text in batch.column(1).to_pylist():
             words = split_words(text)
             keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
             sets = [hashes(words, n) for n in (1, 2, width)]
+            sizes.append(len(sets[-1]))
             for column, value in zip(cols, (*map(simhash, sets), *bands(sets[-1])), strict=True):
                 column.append(value)
         made = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in cols]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *made], ["id", "key", *PRINTS, *BANDS])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *made], ["id", "key", "size", *PRINTS, *BANDS])
 
-    schema = "id long, key binary, " + ", ".join(f"{c} long" for c in (*PRINTS, *BANDS))
+    schema = "id long, key binary, size long, " + ", ".join(f"{c} long" for c in (*PRINTS, *BANDS))
     return arrow_map(df, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], schema, per_slice)
 
 
@@ -155,13 +158,14 @@ def components(df: DataFrame, width: int, similarity: float, id_col: str, text_c
     group of its own; edges are a forest, so nothing grows with the square of a family.
     """
     found = materialize(prints(df, width, id_col, text_col), "near-prints")
-    nodes = found.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in (*PRINTS, *BANDS)])
+    nodes = found.groupBy("key").agg(F.min("id").alias("id"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in (*PRINTS, *BANDS)])
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     near = links(nodes.select("node", *PRINTS, F.col("shingles").alias("other")), RADIUS, SHINGLE_RADIUS, PRINTS)
     families = connected(near.union(band_edges(nodes)))
     families = materialize(families.union(families.select("root", "root").distinct()), "families")
-    sized = families.join(families.groupBy("root").agg(F.count("*").alias("n")), "root")
-    members = materialize(sized.join(nodes.select("node", "id", "key", *PRINTS, *BANDS), "node"), "near-members")
+    members = families.join(nodes.select("node", "id", "key", "size", *PRINTS, *BANDS), "node")
+    counts = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("all_sizes"))
+    members = materialize(members.join(counts, "root"), "near-members")
 
     few = members.select(F.col("id").alias("__id"))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -178,7 +182,7 @@ def components(df: DataFrame, width: int, similarity: float, id_col: str, text_c
     sets = arrow_map(texts, ["id", "text"], "key binary, hashes binary", shingled)
     sets = materialize(sets, "near-sets").dropDuplicates(["key"])
     rows = members.join(sets, "key")
-    chunks = F.ceil(F.col("n") / F.lit(FAMILY_ROWS)).cast("int")
+    chunks = F.greatest(F.ceil(F.col("n") / F.lit(FAMILY_ROWS)), F.least(F.col("n"), F.ceil(F.col("all_sizes") / F.lit(FAMILY_SHINGLES)))).cast("int")
     rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select(F.xxhash64("root", F.least("own", "partner"), F.greatest("own", "partner")).alias("g"), "node", *PRINTS, *BANDS, "hashes")

@@ -166,8 +166,8 @@ def judge(df: DataFrame, rules: QualityRules | None = None, id_col: str = "doc_i
     """`id_col` and FIELDS of every row.
 
     A null text has no words (and fails the base rules); a null or unknown language has no
-    reference, so only the base rules hold. Repeated rows are judged one by one; other
-    columns are not read. One scan without a shuffle.
+    reference, so only the base rules hold. Repeated rows are judged one by one, very long
+    texts whole (their windows as numbers from LONG_WORDS words on); other columns are not read. One scan without a shuffle.
     """
     kind, rules = df.schema[id_col].dataType.simpleString(), rules or QualityRules()
     types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}

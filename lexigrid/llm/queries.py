@@ -7,21 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, table
+from ..session import materialize, spread, table
 from . import bpe, mixing, quality, secrets, sharding, simhash, tokencount, topk, toxicity, urlfilter
 from .common import word_count
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The named columns of all documents; dealt over the cores where the file has few parts."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
+    docs = documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", word_count("text").alias("size"))
     found = mixing.mix(materialize(docs, "mix-sizes"), size="size")
     return found.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    found = secrets.find_secrets(documents(spark, sf_dir, "doc_id", "text"))
     counts = [F.expr(f"CAST(size(filter(base, m -> m.kind = {i})) AS BIGINT)").alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
@@ -29,14 +34,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = bpe.encode_decode(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(documents(spark, sf_dir, "doc_id", "text"), model)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +51,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    found = tokencount.count_tokens(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select("*", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.groups(table(spark, sf_dir, "documents"))
+    return simhash.groups(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,8 +272,8 @@ def groups(df: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id
     Null and empty texts have fingerprint 0 and are linked like any other. A row without an
     id belongs to the component of its fingerprint (null if no row with an id is there) and
     adds no links. Repeated rows are kept one by one, and rows that share an id but not a
-    text are linked only if their fingerprints are. Ids must be integral. Other columns
-    are not read.
+    text are linked only if their fingerprints are. Ids must be integral. Very long texts
+    are hashed whole, 4096 hashes at a time are counted. Other columns are not read.
     """
     prints = materialize(fingerprints(df, width, id_col, text_col), "prints")
     nodes = materialize(prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id")), "nodes")
