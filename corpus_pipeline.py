@@ -39,7 +39,7 @@ def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """doc_id, n_tokens and ids of every mixed text."""
     import public_tokenizers
 
-    found = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=False)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
