@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import slug, stable_id
-from .identity import unique_segments
+from ..functions.paths import display_title, slug, stable_id
+from ..sources.records import write_records
+from .identity import first_of, unique_segments
 from .pages import render_markdown
-from .tree import flatten
+from .tree import attach, flatten
 
 FORMATS = {("raw", "raw"), ("markdown", "toc")}
 
@@ -49,7 +50,7 @@ def plan_files(pages: DataFrame, path: str = "html_path") -> DataFrame:
 def title_files(nodes: DataFrame, title: str = "title") -> DataFrame:
     """nodes (id, parent_id, ordinal, title) with file: the folders of the titles from the
     root, unique among siblings, and index.md."""
-    named = unique_segments(nodes.withColumn("__base", slug(title)), "parent_id", "__base", "ordinal").drop("__base")
+    named = unique_segments(nodes.withColumn("__base", slug(display_title(F.col(title)))), "parent_id", "__base", "ordinal").drop("__base")
     flat = flatten(named.select("id", "parent_id", "ordinal", title, "segment"))
     chain = flat.select("id", F.posexplode(F.array_append("ancestors", F.col("id").cast("string"))).alias("o", "a"))
     segments = named.select(F.col("id").cast("string").alias("a"), "segment")
@@ -94,6 +95,59 @@ def artifacts(files: DataFrame, path: str = "file", content: str = "markdown") -
     return files.select(F.col(path).alias("path"), F.octet_length(content).cast("long").alias("bytes"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
 
 
+#: Files of a record export, (file, record kind of the file, kind of its records).
+FAMILIES = (
+    ("global-methods", "global_method", "global_method"),
+    ("global-properties", "global_property", "global_property"),
+    ("module-events", "module_event", "module_event"),
+    ("type-events", "type_event", "type_event"),
+    ("unknown-events", "unknown_event", "event"),
+    ("platform-types", "platform_type", "platform_type"),
+    ("type-methods", "type_method", "method"),
+    ("type-properties", "type_property", "property"),
+    ("query-tables", "query_table", "query_table"),
+    ("constructors", "constructor", "constructor"),
+    ("enums", "enum", "enum"),
+    ("diagnostics", "diagnostic", None),
+)
+
+
+def record_families(records: DataFrame, diagnostics: DataFrame) -> dict[str, DataFrame]:
+    """The rows of each file of FAMILIES: identified records by kind; enums with their values and
+    query tables with their fields and parameters, by owner identity, the first of an id.
+    Parts of no known owner are left to the diagnostics."""
+    own = [c for c in records.columns if c not in ("kind", "seq", "kind_priority", "owner_id")]
+    part = lambda kind: records.where((F.col("kind") == kind) & F.col("owner_id").isNotNull()).select("owner_id", "seq", "id", "name_primary", "name_alias", "type_refs", "description", "note", "default_value")
+    found = {}
+    for file, _, kind in FAMILIES:
+        if kind is None:
+            found[file] = diagnostics
+            continue
+        rows = records.where(F.col("kind") == kind)
+        if kind in ("enum", "query_table"):
+            rows = first_of(rows, ["id"], [F.col("seq")])
+            for name, owned in (("values", "enum_value"),) if kind == "enum" else (("fields", "query_field"), ("parameters", "query_parameter")):
+                rows = attach(rows.withColumn("__id", F.col("id")), part(owned).withColumnRenamed("owner_id", "__id"), "__id", name).drop("__id")
+            own_now = [*own, *[c for c in rows.columns if c in ("values", "fields", "parameters")]]
+        else:
+            own_now = own
+        found[file] = rows.select(*own_now)
+    return found
+
+
+def export_records(records: DataFrame, diagnostics: DataFrame, folder: str, locale: str, source_locale: str) -> DataFrame:
+    """Write every family as record lines, and metadata (file, record_kind, n), which is
+    returned. Each family is written under Spark's commit protocol: no partial files."""
+    base, counts = folder.rstrip("/"), None
+    for file, kind, _ in FAMILIES:
+        rows = record_families(records, diagnostics)[file]
+        write_records(rows, f"{base}/{file}", kind, locale, source_locale)
+        n = rows.agg(F.count("*").alias("n")).select(F.lit(file).alias("file"), F.lit(kind).alias("record_kind"), "n")
+        counts = n if counts is None else counts.unionByName(n)
+    counts.coalesce(1).write.mode("overwrite").json(f"{base}/metadata")
+    return records.sparkSession.read.schema("file string, record_kind string, n long").json(f"{base}/metadata")
+
+
 def export_markdown(nodes: DataFrame, pages: DataFrame, folder: str) -> DataFrame:
     """One index.md for each node of the table of contents; a node without a page is a
     heading. nodes: id, parent_id, ordinal, title, html_path; pages: html_path, html."""
@@ -113,6 +167,20 @@ def site_tables(merged: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
     return {"manifest": manifest, "nodes": nodes.join(children, "node_id", "left").na.fill(0, ["children"]), "pages": keyed}
 
 
+def site_sections(nodes: DataFrame, depth: int = 2) -> dict[str, DataFrame]:
+    """The tables of contents of a site: `root`, the nodes of less than `depth` levels, and
+    `sections`, all others with the section (node at `depth` - 1) that they are loaded with,
+    and how many nodes each section has."""
+    level = F.size("parent_path")
+    owner = F.when(level >= depth, stable_id("locale", F.array_join(F.slice("node_path", 1, depth), "/")))
+    placed = nodes.withColumn("section_id", owner)
+    sections = placed.where("section_id IS NOT NULL")
+    sizes = sections.groupBy("locale", "section_id").agg(F.count("*").alias("section_nodes"))
+    root = placed.where("section_id IS NULL").drop("section_id")
+    root = root.join(sizes.withColumnRenamed("section_id", "node_id"), ["locale", "node_id"], "left").na.fill(0, ["section_nodes"])
+    return {"root": root, "sections": sections}
+
+
 def write_site(tables: dict[str, DataFrame], folder: str) -> None:
     """JSON lines by locale for each artifact."""
     for name, df in tables.items():

@@ -131,21 +131,90 @@ def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     return found.withColumnRenamed("id", id_col)
 
 
+class _Cells(HTMLParser):
+    """Rows of cells of a table, or the lines of any fragment (one row, one cell)."""
+
+    def __init__(self, fragment: str):
+        super().__init__(convert_charrefs=True)
+        self.rows, self.tables, self.loose = [], 0, [""]
+        self.feed(fragment)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.tables += tag == "table"
+        if tag == "tr":
+            self.rows.append([])
+        elif tag in ("td", "th"):
+            self.rows = self.rows or [[]]
+            self.rows[-1].append("")
+        elif tag in ("br", "p"):
+            self.handle_data("\n")
+
+    def handle_data(self, data):
+        row = self.rows[-1] if self.rows and self.rows[-1] else self.loose
+        row[-1] += data
+
+    def cells(self) -> list[str]:
+        return [cell for row in self.rows for cell in row]
+
+
+def code_block(text: str) -> str | None:
+    """Lines as preformatted code, without empty lines around them."""
+    lines = [line.replace("\xa0", " ").rstrip() for line in text.split("\n")]
+    shown = "\n".join(lines).strip("\n")
+    return f'<pre class="code">{entities.escape(shown)}</pre>' if shown.strip() else None
+
+
+def layout(page: str) -> str:
+    """The page with code and layout written as what they are: a table of one cell in a
+    typewriter font, and a quote in one without links, are code; a quote that only lays out
+    lines in tables is a quote of paragraphs."""
+
+    def table(found: re.Match) -> str:
+        cells = _Cells(found[0]).cells() if "courier" in found[0].lower() else []
+        return (code_block(cells[0]) if len(cells) == 1 else None) or found[0]
+
+    def quote(found: re.Match) -> str:
+        low = found[0].lower()
+        if "href" in low:
+            return found[0]
+        held = _Cells(found[0])
+        if "courier" in low:
+            return code_block("\n".join([*held.cells(), *held.loose])) or found[0]
+        rows = [[" ".join(c.split()) for c in row if c.strip()] for row in held.rows]
+        lines = [row[0] for row in rows if len(row) == 1]
+        if held.tables < 2 or len(lines) < 2 or any(len(row) > 1 for row in rows):
+            return found[0]
+        return "<blockquote>" + "".join(f"<p>{entities.escape(x)}</p>" for x in lines) + "</blockquote>"
+
+    page = re.sub(r"(?is)<table\b(?:(?!<table\b).)*?</table>", table, page)
+    return re.sub(r"(?is)<blockquote\b.*?</blockquote>", quote, page)
+
+
 class _Markdown(HTMLParser):
     """Headings, paragraphs, lists, links, emphasis, quotes and code of a page as Markdown."""
 
     def __init__(self, targets: dict[str, str]):
         super().__init__(convert_charrefs=True)
         self.out, self.targets, self.href, self.hidden, self.code, self.lists = [], targets, [], 0, 0, []
+        self.quotes, self.heading = 0, None
+
+    def anchor(self, values: dict) -> None:
+        """A heading that is named, or holds what is, gets an anchor before it, once."""
+        name = (values.get("name") or values.get("id") or "").strip()
+        if name and self.heading is not None:
+            self.out.insert(self.heading, f'<a id="{entities.escape(name)}"></a>\n')
+            self.heading = None
 
     def handle_starttag(self, tag, attrs):
         values = dict(attrs)
         if tag in ("script", "style", "head"):
             self.hidden += 1
         elif re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
+            self.out += ["\n\n", "#" * int(tag[1]) + " "]
+            self.heading = len(self.out) - 1
         elif tag in ("p", "div", "table"):
-            self.out.append("\n\n")
+            self.out.append("\n>\n> " if self.quotes else "\n\n")
         elif tag == "br":
             self.out.append("\n" if self.code else "  \n")
         elif tag in ("ul", "ol"):
@@ -160,17 +229,24 @@ class _Markdown(HTMLParser):
         elif tag in ("i", "em"):
             self.out.append("*")
         elif tag == "blockquote":
+            self.quotes += 1
             self.out.append("\n\n> ")
         elif tag in ("pre", "code"):
             self.code += tag == "pre"
-            self.out.append("\n\n```\n" if tag == "pre" else "`")
-        elif tag == "a" and "href" in values:
+            self.out.append(("\n\n```bsl\n" if values.get("class") == "code" else "\n\n```\n") if tag == "pre" else "`")
+        self.anchor(values)
+        if tag == "a" and "href" in values:
             self.href.append(rewrite_href(values["href"], self.targets))
             self.out.append("[")
 
     def handle_endtag(self, tag):
         if tag in ("script", "style", "head") and self.hidden:
             self.hidden -= 1
+        elif re.fullmatch("h[1-6]", tag):
+            self.heading = None
+        elif tag == "blockquote":
+            self.quotes = max(0, self.quotes - 1)
+            self.out.append("\n\n")
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
         elif tag in ("b", "strong"):
@@ -191,18 +267,22 @@ class _Markdown(HTMLParser):
 
 
 def rewrite_href(href: str, targets: dict[str, str]) -> str:
-    """The page file that a link goes to, its fragment kept; links elsewhere stay."""
+    """The page file that a link goes to, its fragment kept; links elsewhere stay, and so
+    does a link to a fragment of the page itself."""
     path, hash_, fragment = href.partition("#")
-    return targets[path] + hash_ + fragment if path in targets else href
+    if path not in targets:
+        return href
+    return hash_ + fragment if hash_ and targets[path] == targets.get("") else targets[path] + hash_ + fragment
 
 
 def to_markdown(page: str, page_title: str, targets: dict[str, str] | None = None) -> str:
     """Markdown of a page; a heading is added if the page has none."""
     parser = _Markdown(targets or {})
-    parser.feed(page)
+    parser.feed(layout(page))
     parser.close()
-    text = re.sub(r"\n{3,}", "\n\n", "".join(parser.out)).strip()
-    if not re.match(r"#{1,6} ", text):
+    text = re.sub(r"> \n>\n", "", "".join(parser.out))
+    text = re.sub(r"\n{3,}", "\n\n", text).strip()
+    if not re.match(r"(?:<a id=[^>]*></a>\n)?#{1,6} ", text):
         text = f"# {page_title}\n\n{text}".strip()
     return text + "\n"
 

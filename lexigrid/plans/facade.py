@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.availability import array_mask, available, mask_of
-from ..operators import graph, lookup, resolve, search
-from ..sources.index import open_index
-from . import provider
+from ..functions.paths import storage_path
+from ..functions.values import localized
+from ..operators import export, graph, lookup, resolve, search
+from ..schemas import TABLES
+from ..sources import books
+from ..sources.index import open_index, publish
+from . import build, extract, provider
 
 
 class AmbiguousLookup(LookupError):
@@ -21,6 +25,63 @@ class AmbiguousLookup(LookupError):
         self.candidates = candidates
 
 
+class Shelf:
+    """The books of a folder: what they hold, their pages, exports, and the index of their facts."""
+
+    def __init__(self, spark: SparkSession, folder: str, include: list[str] | None = None):
+        self.spark, self.found = spark, books.discover(spark, folder, include)
+
+    def contents(self) -> DataFrame:
+        return books.contents(self.spark, [r.path for r in self.found.select("path").collect()])  # one row a file
+
+    def inspect(self) -> DataFrame:
+        """path, name, description, tags, error and locale of each book."""
+        return books.read_meta(self.contents()).join(self.found.select("path", "locale", "length"), "path")
+
+    def toc(self, as_json: bool = False) -> DataFrame:
+        found = books.read_toc(self.contents())
+        return found.select("path", F.to_json(F.struct(*found.columns)).alias("json")) if as_json else found
+
+    def page(self, path: str, html_path: str) -> str | None:
+        """The source of one page of a book, None if the book does not have it."""
+        one = books.contents(self.spark, path)
+        wanted = storage_path(F.lit(html_path))
+        row = books.read_pages(one).where(storage_path("html_path") == wanted).select("html").first()
+        return row and row.html
+
+    def export(self, kind: str, form: str, folder: str, locale: str = "ru") -> DataFrame:
+        """raw/raw: every stored page; markdown/toc: a file for each node. A folder for each book."""
+        export.check_format(kind, form)
+        pages = books.read_pages(self.contents()).where("error IS NULL")
+        stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+        if kind == "raw":
+            return export.export_raw(pages.select(F.concat_ws("/", stem, storage_path("html_path")).alias("html_path"), "html"), folder)
+        key = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("#", "path", F.col(c).cast("string")))
+        at = lambda c: F.concat_ws("#", "path", storage_path(c))
+        toc = self.toc().where("error IS NULL")
+        roots = self.found.select(F.col("path").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("ordinal"), F.regexp_replace("file", r"\.[^.]*$", "").alias("title"), F.lit(None).cast("string").alias("html_path"))
+        nodes = toc.select(key("id").alias("id"), F.coalesce(key("parent_id"), "path").alias("parent_id"), F.col("ordinal").cast("int").alias("ordinal"), localized("title_ru", "title_en", locale).alias("title"), at("html_path").alias("html_path"))
+        return export.export_markdown(roots.unionByName(nodes), pages.select(at("html_path").alias("html_path"), "html"), folder)
+
+    def records(self, locale: str = "ru") -> tuple[DataFrame, DataFrame]:
+        """(records, page diagnostics) of all books."""
+        toc = self.toc().where("error IS NULL").select(F.col("path").alias("book"), "id", "parent_id", "ordinal", localized("title_ru", "title_en", locale).alias("title"), "html_path")
+        pages = books.read_pages(self.contents()).where("error IS NULL").select(F.col("path").alias("book"), "html_path", "html")
+        return extract.records(toc, pages, locale)
+
+    def export_facts(self, folder: str, locale: str = "ru") -> DataFrame:
+        """Record files of all families; returns their counts."""
+        found, diagnostics = self.records(locale)
+        rows, _, _ = build.identified(found)
+        return export.export_records(rows, diagnostics, folder, locale, locale)
+
+    def index(self, folder: str, locale: str = "ru") -> FactIndex:
+        """Build and publish the index of all books, and open it."""
+        tables = build.build(self.records(locale)[0])
+        publish(self.spark, {n: t for n, t in tables.items() if n in TABLES}, folder)
+        return FactIndex.open(self.spark, folder)
+
+
 class FactIndex:
     """Lookups, search, graph and reports over the tables of an index."""
 

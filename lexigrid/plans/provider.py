@@ -74,6 +74,23 @@ def text_lines(hits: DataFrame) -> DataFrame:
     return hits.select(F.concat(F.rpad("kind", 20, " "), F.lit(" "), "id", F.lit(" "), "name_primary", alias).alias("line"))
 
 
+def related_lines(hits: DataFrame) -> DataFrame:
+    """`depth edge kind id` lines of what a root leads to (graph.bfs)."""
+    step = F.coalesce(F.try_element_at("path", F.lit(-1))["kind"], F.lit(""))
+    return hits.select(F.concat_ws(" ", F.col("depth").cast("string"), F.rpad(step, 10, " "), "node").alias("line"))
+
+
+def constructor_lines(hits: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The signatures of constructors, in order; hits: id; signatures: callable_id, ordinal, title."""
+    return hits.join(signatures, F.col("id") == F.col("callable_id")).orderBy("id", "ordinal").select(F.col("title").alias("line"))
+
+
+def gap_lines(roles: DataFrame, groups: DataFrame) -> DataFrame:
+    """The gap report: totals by role, then the most frequent gaps."""
+    total = roles.select(F.concat(F.rpad(F.coalesce("role", F.lit("total")), 24, " "), F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("total", "resolved", "unresolved", "ambiguous", "with_binding")])).alias("line"))
+    return total.unionByName(groups.select(F.concat_ws(" ", F.lpad(F.col("n").cast("string"), 8, " "), "role", "target_name").alias("line")))
+
+
 def compact(documents: DataFrame) -> DataFrame:
     return documents.select("id", "kind", "name_primary", "name_alias")
 

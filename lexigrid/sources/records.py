@@ -14,6 +14,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+class RecordError(ValueError):
+    """A line that is no object of the schema; says which one."""
+
+
+def check_jsonl(spark: SparkSession, path: str) -> None:
+    """Raise RecordError for the first line of a file that is neither blank nor a JSON object."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    text = F.trim(F.regexp_replace("line", "\r$", ""))
+    bad = lines.where((text != "") & (F.json_object_keys(text).isNull())).orderBy("file", "at").limit(1).collect()
+    if bad:
+        raise RecordError(f"{bad[0].file}, line {bad[0]['at'] + 1}: {bad[0].line[:80]!r} is no object")
+
+
 def read_tsv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """A manifest with a header line; all columns are strings and must not be empty."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])

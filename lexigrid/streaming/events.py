@@ -36,13 +36,22 @@ def deduplicated(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 def keep_latest(events: DataFrame, folder: str, checkpoint: str):
     """Keep the newest event of each user as Parquet under folder/batch=N; a batch reads the
-    last state, merges, and writes the next one, so a repeated batch gives the same files."""
+    last state before it that is there, merges, and writes the next one, so a repeated batch
+    gives the same files and older states may be removed."""
     spark = events.sparkSession
 
+    def last_before(number: int) -> int | None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        known = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+        return max((n for n in known if n < number), default=None)
+
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch.select("user_id", "event_id", "ts", "event_type", "value")
-        if number > 0:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{folder}/batch={number - 1}"))
+        before = last_before(number)
+        if before is not None:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{folder}/batch={before}"))
         newest = rows.groupBy("user_id").agg(F.max_by(F.struct("event_id", "ts", "event_type", "value"), F.struct("ts", "event_id")).alias("r"))
         newest.select("user_id", "r.*").write.mode("overwrite").parquet(f"{folder}/batch={number}")
 

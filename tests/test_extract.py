@@ -110,3 +110,34 @@ def test_two_lines_are_two_signatures():
     assert page_model.read(None)["signatures"] == [] and page_model.read("")["text"] == ""
     more = page_model.read('<p class="V8SH_chapter">See also:</p><a href="x/object1.html">Array</a>, method <a href="x/object1/methods/a.html">Add</a><a href="y.html">Map</a>')
     assert more["see_also"] == ["Array.Add", "Map"]
+
+
+def test_record_export(spark, made, tmp_path):
+    from lexigrid.operators import export
+
+    rows, _, _ = build.identified(made[0])
+    counts = {r.file: r.n for r in export.export_records(rows, made[1], str(tmp_path / "out"), "root", "root").collect()}
+    assert len(counts) == 12 and counts["platform-types"] == 7 and counts["type-methods"] == 3 and counts["constructors"] == 1 and counts["diagnostics"] >= 1
+    enum = spark.read.json(str(tmp_path / "out/enums")).first()
+    assert enum.record_kind == "enum" and [v.name_primary for v in enum.record["values"]] == ["Left"]
+    table = spark.read.json(str(tmp_path / "out/query-tables")).where("record.name_primary = 'Turnovers'").first()
+    assert [v.name_primary for v in table.record.fields] == ["Period"]
+
+
+def test_shelf(spark, tmp_path):
+    from .test_sources import book, write_container
+
+    (tmp_path / "lang_ru.hbk").write_bytes(write_container(book(), 64))
+    (tmp_path / "other_root.hbk").write_bytes(write_container(book()))
+    shelf = facade.Shelf(spark, str(tmp_path))
+    assert {(r.name, r.locale, r.error) for r in shelf.inspect().collect()} == {("lang", "ru", None), ("lang", "en", None)}
+    assert shelf.toc(as_json=True).count() == 6
+    path = shelf.found.first().path
+    assert shelf.page(path, "/a/b.html") == "<p>b</p>" and shelf.page(path, "none.html") is None
+    files = shelf.export("raw", "raw", str(tmp_path / "raw")).collect()
+    assert len(files) == 4 and (tmp_path / "raw/lang_ru/a/b.html").read_text() == "<p>b</p>"
+    assert all(len(f.sha256) == 64 for f in files)
+    shelf.export("markdown", "toc", str(tmp_path / "md"))
+    assert len(list((tmp_path / "md").rglob("index.md"))) == 8
+    with pytest.raises(ValueError):
+        shelf.export("raw", "toc", str(tmp_path / "x"))
