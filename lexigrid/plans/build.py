@@ -14,6 +14,7 @@ from ..functions import identity as idf
 from ..functions.text import name_keys
 from ..operators import graph, identity, resolve, search
 from ..schemas import CALLABLE_KINDS, KINDS, MEMBER_KINDS, TYPE_KINDS
+from ..session import materialize
 
 _PARAMETER = "struct<name:string,required:boolean,description:string,type_refs:array<string>>"
 _SIGNATURE = f"struct<title:string,description:string,parameters:array<{_PARAMETER}>,return_types:array<string>>"
@@ -62,8 +63,11 @@ def identified(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def build(records: DataFrame) -> dict[str, DataFrame]:
-    """The index tables of `schemas.TABLES` (without meta), and `diagnostics`."""
+    """The index tables of `schemas.TABLES` (without meta), and `diagnostics`. The identified
+    records and their references, which most tables are made of, are written once."""
     docs, warnings, orphans = identified(records)
+    docs, warnings = materialize(docs, "facts"), materialize(warnings, "warnings")
+    orphans = materialize(orphans.select("code", "kind", "name_primary"), "orphans")
     none = lambda kind="string": F.lit(None).cast(kind)
     texts = F.array_join(F.transform(F.coalesce("signatures", F.array().cast(f"array<{_SIGNATURE}>")), lambda s: s["title"]), "\n")
     documents = docs.select("id", "kind", "kind_priority", "name_primary", "name_alias", "owner_primary", "owner_alias", F.nullif(texts, F.lit("")).alias("signature_text"), "description", F.col("availability").alias("availability_contexts"), F.col("since").alias("available_since"))
@@ -79,7 +83,7 @@ def build(records: DataFrame) -> dict[str, DataFrame]:
     signatures = signed.select("signature_id", F.col("id").alias("callable_id"), F.col("o").alias("ordinal"), "s.title", "s.description")
     listed = signed.select("id", "signature_id", "o", F.posexplode("s.parameters").alias("n", "p")).withColumn("parameter_id", F.concat_ws(":", "signature_id", F.lit("parameter"), "n"))
     parameters = listed.select("parameter_id", "signature_id", F.col("n").alias("ordinal"), "p.name", "p.required", "p.description")
-    refs = resolved_references(docs, signed, listed)
+    refs = materialize(resolved_references(docs, signed, listed), "references")
     templates = template_rows(types, refs)
     refs = bound(refs, docs, templates)
     edges = graph.derive(docs.select("id", "owner_id", "kind"), refs.select("document_id", "ref_kind", F.col("target_type_id").alias("target_id"), F.col("target_type_name").alias("target_name"), "status"))
