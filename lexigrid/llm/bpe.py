@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import Memory, arrow_map
 
 #: Encoded pieces that a worker remembers, and the longest piece it remembers.
-CACHED_PIECES, CACHED_CHARS, CACHED_PAIRS, TRIE_NODES = 1 << 18, 48, 1 << 19, 1 << 19
+CACHED_PIECES, CACHED_CHARS, CACHED_PAIRS, TRIE_NODES = 1 << 17, 48, 1 << 18, 1 << 18
 
 TOKEN = 256
 

@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +21,16 @@ def quoted(pattern: str) -> str:
 
 #: Bytes of strings in a slice, unless one row alone has more.
 SLICE_BYTES = 4 << 20
+OFFSETS = {"string": np.int32, "binary": np.int32, "large_string": np.int64, "large_binary": np.int64}
 
 
 def slices(batch: pa.RecordBatch, rows: int, size: int = SLICE_BYTES):
     """The batch in slices of at most `rows` rows and `size` bytes of strings (one row at least)."""
     held = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
-        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
-            held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        kind = OFFSETS.get(str(column.type))
+        if kind and batch.num_rows:  # from the offsets alone: the compute kernels would cost every worker memory
+            held += np.diff(np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + batch.num_rows + 1])
     ends, start = np.cumsum(held), 0
     while start < batch.num_rows:
         most = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right"))
